@@ -30,7 +30,8 @@ _COMPACT = r"^\s*(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\s*$"
 
 def number_text(c: Column) -> Column:
     """Text left for the number parser: no ``, $ %``, ``(x)`` turned into ``-x``."""
-    return F.regexp_replace(F.translate(c, ",$%", ""), r"\(([^)]+)\)", "-$1")
+    bare = F.translate(c, ",$%", "")
+    return F.when(F.contains(c, F.lit("(")), F.regexp_replace(bare, r"\(([^)]+)\)", "-$1")).otherwise(bare)
 
 
 def number(c: Column) -> Column:

@@ -57,7 +57,7 @@ def cells(df: DataFrame, columns: dict[str, str], *, dataset: str | Column = "da
         ids.append(row_key(order_by).alias(ROW))
     # The ids travel inside the cell: plans built twice over one table then have equal
     # unpivots, and their shuffles are shared.
-    wide = df.select(*[F.struct(*ids, as_text(df, source).alias(VALUE)).alias(label)
+    wide = df.select(*[F.struct(*ids, _nullable_text(df, source).alias(VALUE)).alias(label)
                        for source, label in columns.items()])
     long = wide.unpivot([], [f"`{label}`" for label in columns.values()], COLUMN, "cell")
     return long.select(COLUMN, "cell.*")
@@ -67,6 +67,12 @@ def with_dataset(df: DataFrame, dataset: str | Column) -> DataFrame:
     return df.withColumn(DATASET, F.lit(dataset)) if isinstance(dataset, str) else df
 
 
+def _nullable_text(df: DataFrame, name: str) -> Column:
+    # All cells must agree that a value may be null, masks included.
+    cell = as_text(df, name)
+    return cell if df.schema[name].nullable else F.nullif(cell, F.lit("\x00"))
+
+
 def label_map(values: dict[str, object]) -> Column:
     """Literal map, for looking up what is known about each column by its name."""
     pairs = [F.lit(item) for pair in values.items() for item in pair]

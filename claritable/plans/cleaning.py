@@ -47,6 +47,10 @@ _IDENTIFIERS = {
 }
 
 
+def read_typed(primitive: str, c: Column, as_of: dt.date) -> Column:
+    return _READERS[primitive](c, as_of)
+
+
 @dataclass(frozen=True)
 class ColumnSpec:
     """What is known about a column before the data is measured."""
@@ -94,7 +98,7 @@ class ColumnSpec:
         sanitized = text.collapse(raw) if options.sanitize else raw
         steps = self.label_steps(options)
         if typed:
-            out = _READERS[self.primitive](raw, options.as_of)
+            out = read_typed(self.primitive, raw, options.as_of)
             if keep_invalid:
                 out = F.coalesce(_WRITERS[self.primitive](out), sanitized)
             elif steps:
@@ -147,7 +151,7 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
             counts.append(F.count(spec.cell(raw, options, typed=False, keep_invalid=False)).alias(f"t{key}"))
             kept_text = F.col(f"t{key}")
         if typed:
-            counts.append(F.count(_READERS[spec.primitive](raw, options.as_of)).alias(f"p{key}"))
+            counts.append(F.count(read_typed(spec.primitive, raw, options.as_of)).alias(f"p{key}"))
             parsed = F.col(f"p{key}")
             kept_typed = non_null if keep else parsed
             if narrowing:
@@ -211,13 +215,12 @@ class CleaningPlan:
     # --- applying -----------------------------------------------------------
     def project(self, df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         """Rename, normalize, coerce and drop empty columns; no shuffle."""
-        out = [F.col(k) for k in keys]
-        for column in self.kept():
-            spec = column.spec
-            out.append(spec.cell(
-                spec.raw(df, self.options), self.options, typed=column.target != STRING,
-                keep_invalid=column.mode == "safe" and column.invalid > 0).alias(column.name))
-        return df.select(*out)
+        cells = [self.cell(c, c.spec.raw(df, self.options)).alias(c.name) for c in self.kept()]
+        return df.select(*[F.col(k) for k in keys], *cells)
+
+    def cell(self, column: ColumnPlan, raw: Column) -> Column:
+        return column.spec.cell(raw, self.options, typed=column.target != STRING,
+                                keep_invalid=column.mode == "safe" and column.invalid > 0)
 
     def privatize(self, df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         """De-identify projected rows."""
