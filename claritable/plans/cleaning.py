@@ -137,7 +137,9 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
     A single aggregate over one scan; every column adds two to four counts.
     """
     counts, entries = [], []
+    harbor = options.privacy == "safe_harbor"
     for spec in specs:
+        rule = privacy.safe_harbor_rule(spec.name, spec.hint) if harbor else None
         raw = spec.raw(df, options)
         key = spec.position
         counts.append(F.count(raw).alias(f"n{key}"))
@@ -172,6 +174,7 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
             F.when(F.lit(typed), F.bround(success, 3)).alias("success_ratio"),
             F.when(~gated, F.lit(spec.mode(options))).alias("coercion_mode"),
             skipped.alias("coercion_skipped"),
+            F.lit(rule[0] if rule else None).cast("string").alias("privacy_transform"),
             (F.when(gated, kept_text).otherwise(kept_typed) == 0).alias("empty"),
         ))
     total = F.count(F.lit(1)).alias("_rows")
@@ -302,16 +305,14 @@ def fit(df: DataFrame, options: CleanOptions | None = None, *,
     if hints is None:
         hints = infer_hints(df, options.as_of, exclude)
     specs = column_specs(df.columns, hints, options, exclude)
-    harbor = options.privacy == "safe_harbor"
 
     columns, row_count = [], 0
     for row in measure_conversion(df, specs, options, dataset).collect():
         row_count = row["row_count"]
-        rule = privacy.safe_harbor_rule(row[COLUMN], row["semantic_hint"]) if harbor else None
         columns.append(ColumnPlan(
             original=row["original_name"], name=row[COLUMN], position=row["position"],
             primitive=row["primitive_type"], hint=row["semantic_hint"], target=row["target_type"],
             non_null=row["non_null"], invalid=row["invalid"], success_ratio=row["success_ratio"],
             mode=row["coercion_mode"], skipped=row["coercion_skipped"],
-            dropped=row["dropped_empty"], transform=rule[0] if rule else None))
+            dropped=row["dropped_empty"], transform=row["privacy_transform"]))
     return CleaningPlan(tuple(columns), options, row_count, dataset)

@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL on one scale: ``python -m tests.check_oracle [name...]``."""
+"""Compare registered queries with their SQL on one scale: ``python -m tests.check_oracle [name or module*...]``."""
 
 from __future__ import annotations
 
@@ -58,7 +58,9 @@ def main(names: list[str]) -> int:
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     con, bad = connect(), 0
-    for name in names or QUERIES:
+    wanted = [n for n in QUERIES if not names or n in names
+              or any(x.endswith("*") and QUERIES[n].__module__ == f"workload.{x[:-1]}" for x in names)]
+    for name in wanted:
         try:
             ok, text = compare(spark, con, name)
         except Exception as error:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import cleaning  # noqa: F401
+from workload import cleaning, profiles  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -235,11 +235,15 @@ def _(spark, sf):
 
 
 @query("normalization_summary", f"""SELECT count(*) FILTER (target_type <> 'string') AS typed_count,
- string_agg(column_name, ',' ORDER BY column_name) FILTER (target_type <> 'string') AS typed_columns
+ string_agg(column_name, ',' ORDER BY column_name) FILTER (target_type <> 'string') AS typed_columns,
+ string_agg(column_name, ',' ORDER BY column_name) FILTER (column_name IN ('patient_id', 'phone', 'email', 'patient_name')) AS masked,
+ string_agg(column_name, ',' ORDER BY column_name) FILTER (column_name IN ('dob', 'visit_date')) AS generalized
 FROM ({_gate('safe')})""")
 def _(spark, sf):
-    return qc.normalization_summary(_messy_plan_columns(spark, sf), "none").select(
-        "typed_count", F.array_join(F.sort_array("typed_columns"), ",").alias("typed_columns"))
+    joined = lambda c: F.array_join(F.sort_array(c), ",")
+    return qc.normalization_summary(_messy_plan_columns(spark, sf, privacy="safe_harbor"), "safe_harbor").select(
+        "typed_count", joined("typed_columns").alias("typed_columns"),
+        joined("columns_masked").alias("masked"), joined("dates_generalized").alias("generalized"))
 
 
 # --- whole cleans -----------------------------------------------------------
