@@ -7,6 +7,7 @@ with a partial aggregate, so history length never concentrates in one task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claritable import rules
@@ -66,10 +67,14 @@ def current_runs(events: DataFrame, run: str = "run_id", time: str = "event_time
         *[F.max_by(c, order(c)).alias(c) for c in fields])
 
 
-def list_runs(runs: DataFrame, dataset_id, limit: int = 20) -> DataFrame:
-    """Runs of one dataset, newest first."""
-    return (runs.filter(F.col("dataset_id") == dataset_id)
-            .orderBy(F.desc("created_at"), F.desc("run_id")).limit(max(1, min(200, int(limit)))))
+def list_runs(runs: DataFrame, dataset_id: str | None = None, limit: int = 20) -> DataFrame:
+    """Newest runs of one dataset, or of every dataset when none is named."""
+    limit = max(1, min(200, int(limit)))
+    order = [F.desc("created_at"), F.desc("run_id")]
+    if dataset_id is not None:
+        return runs.filter(F.col("dataset_id") == dataset_id).orderBy(*order).limit(limit)
+    place = F.row_number().over(W.partitionBy("dataset_id").orderBy(*order))
+    return runs.withColumn("place", place).filter(F.col("place") <= limit)
 
 
 def list_datasets(datasets: DataFrame, limit: int = 25) -> DataFrame:
