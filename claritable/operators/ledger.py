@@ -23,7 +23,7 @@ FINAL = ("completed", "failed", "cancelled")
 
 
 class RunLedger:
-    """Parquet events partitioned by day."""
+    """Parquet events partitioned by month."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -34,8 +34,10 @@ class RunLedger:
         full = events.select(*[
             (F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in fields])
-        full.withColumn("event_date", F.to_date("event_time")).write.mode("append").partitionBy(
-            "event_date").parquet(self.path)
+        dated = full.withColumn("event_month", F.date_format("event_time", "yyyy-MM"))
+        # Rebalancing writes one file per month, and splits a month that is too large for one.
+        dated.hint("rebalance", "event_month").write.mode("append").partitionBy(
+            "event_month").parquet(self.path)
 
     def record(self, dataset_id: str, run_id: str, status: str, **fields) -> None:
         """Append one status event of one run."""
@@ -48,7 +50,7 @@ class RunLedger:
         self.append(row.withColumns({**stamps, **{k: F.lit(v) for k, v in fields.items()}}))
 
     def events(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA + ", event_date date").parquet(self.path)
+        return self.spark.read.schema(SCHEMA + ", event_month string").parquet(self.path)
 
     def runs(self) -> DataFrame:
         return current_runs(self.events())
@@ -60,7 +62,7 @@ def current_runs(events: DataFrame, run: str = "run_id", time: str = "event_time
     A later event wins; fields it leaves NULL keep their earlier value.
     """
     order = lambda c: F.when(F.col(c).isNotNull(), F.struct(time, "_final"))
-    fields = [c for c in events.columns if c not in (run, time, "event_date")]
+    fields = [c for c in events.columns if c not in (run, time, "event_month")]
     ranked = events.withColumn("_final", F.col("status").isin(*FINAL).cast("int"))
     return ranked.groupBy(run).agg(
         F.min(time).alias("created_at"), F.max(time).alias("updated_at"),

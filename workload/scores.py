@@ -29,7 +29,7 @@ M, C = sql.WITH_MESSY, sql.WITH_CLAIMS
 _TODAY = f"TIMESTAMP '{AS_OF.isoformat()} 00:00:00'"
 
 
-def _failing(issue: str, column: str) -> str:
+def failing(issue: str, column: str) -> str:
     if issue == "dob_future":
         return f"{sql.timestamp(column)} > {_TODAY}"
     if issue == "date_future":
@@ -50,7 +50,7 @@ def _counted(view: str, rule_list, by: str = "", dataset: str = "'messy'") -> st
     group = f" GROUP BY {by}" if by else ""
     return " UNION ALL ".join(
         f"SELECT {by or dataset} AS dataset_id, '{issue}' AS issue_type, '{column}' AS column_name, "
-        f"count(*) FILTER ({_failing(issue, column)}) AS count, count(*) AS row_count FROM {view}{group}"
+        f"count(*) FILTER ({failing(issue, column)}) AS count, count(*) AS row_count FROM {view}{group}"
         for issue, column in rule_list)
 
 
