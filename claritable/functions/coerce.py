@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claritable import rules
+from claritable.functions import text
 
-_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+_NUMBER = r"^\s*(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 _TIME = r"((?:[T ]\s*\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?)\s*$"
 _SEP = r"[-/.]"
@@ -28,19 +29,24 @@ _NAMED = rf"(?i)({_MONTH_NAME})"
 _COMPACT = r"^\s*(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\s*$"
 
 
-def number_text(c: Column) -> Column:
-    """Text left for the number parser: no ``, $ %``, ``(x)`` turned into ``-x``."""
-    bare = F.translate(c, ",$%", "")
-    return F.when(F.contains(c, F.lit("(")), F.regexp_replace(bare, r"\(([^)]+)\)", "-$1")).otherwise(bare)
+# Letters the double parser would read as a suffix, an infinity, a NaN or a hex digit.
+_NOT_DECIMAL = "dDfFiInNxXpP"
+
+
+def _parse(c: Column) -> Column:
+    return c.try_cast("double")
 
 
 def number(c: Column) -> Column:
-    return F.regexp_extract(number_text(c), _NUMBER, 1).try_cast("double")
+    """A number with ``, $ %`` removed and ``(x)`` read as ``-x``."""
+    bare = F.translate(c, _NOT_DECIMAL + ",$%", "#" * len(_NOT_DECIMAL))
+    return _parse(F.when(F.contains(c, F.lit("(")), F.regexp_replace(bare, r"\(([^)]+)\)", "-$1"))
+                  .otherwise(bare))
 
 
 def plain_number(c: Column) -> Column:
     """A number as written, without removing currency signs or separators."""
-    return F.regexp_extract(c, _NUMBER, 1).try_cast("double")
+    return _parse(F.translate(c, _NOT_DECIMAL, "#" * len(_NOT_DECIMAL)))
 
 
 def looks_numeric(c: Column) -> Column:
@@ -55,13 +61,12 @@ def number_to_text(n: Column) -> Column:
 
 
 def boolean(c: Column) -> Column:
-    true = r"(?iU)^\s*(?:{})\s*$".format("|".join(rules.TRUE_TOKENS))
-    false = r"(?iU)^\s*(?:{})\s*$".format("|".join(rules.FALSE_TOKENS))
-    return F.when(c.rlike(true), F.lit(True)).when(c.rlike(false), F.lit(False))
+    return F.when(text.is_token(c, rules.TRUE_TOKENS), F.lit(True)).when(
+        text.is_token(c, rules.FALSE_TOKENS), F.lit(False))
 
 
 def looks_boolean(c: Column) -> Column:
-    return c.rlike(r"(?iU)^\s*(?:{})\s*$".format("|".join(rules.TRUE_TOKENS + rules.FALSE_TOKENS)))
+    return text.is_token(c, rules.TRUE_TOKENS + rules.FALSE_TOKENS)
 
 
 def _two_digits_from(low: int) -> str | None:
@@ -106,14 +111,14 @@ def timestamp(c: Column, as_of: dt.date) -> Column:
         named, rf"(?i)^\s*(\d{{1,2}})[- ]{_MONTH_NAME}\.?[-, ]+(\d{{4}}){_TIME}", "$2-#-$1$3")
     named = F.replace(named, F.lit("#"), _month_number(c))
 
-    text = (
+    canonical = (
         F.when(c.rlike(_ISO), c)
         .when(c.rlike(_YEAR_LAST), numeric)
         .when(c.rlike(_YEAR_FIRST), F.regexp_replace(c, _YEAR_FIRST, "$1-$2-$3$4"))
         .when(c.rlike(_NAMED), named)
         .when(c.rlike(_COMPACT), F.regexp_replace(c, _COMPACT, "$1-$2-$3"))
     )
-    return text.try_cast("timestamp")
+    return canonical.try_cast("timestamp")
 
 
 def _month_number(c: Column) -> Column:

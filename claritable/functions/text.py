@@ -7,6 +7,7 @@ whole table is rewritten by a single projection.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,16 +15,31 @@ from pyspark.sql import functions as F
 from claritable import rules
 
 # (?U) gives \s, \d and \b the Unicode meaning they have in most languages.
-_MISSING = r"(?iU)^\s*(?:{})?\s*$".format(
-    "|".join(re.escape(token) for token in rules.MISSING_TOKENS if token))
 _SPACES = r"(?U)\s+"
 _EDGES = r"(?U)^\s+|\s+$"
 _LETTER_RUNS = r"\p{L}+|[^\p{L}]+"
+_CONTROL_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+
+
+def is_token(c: Column, tokens: Iterable[str]) -> Column:
+    """True where ``c``, trimmed and in lower case, is one of the tokens.
+
+    Most cells are settled by comparing a short trimmed string.  The pattern, which also
+    knows tabs, line breaks and Unicode spaces, only sees cells with an unusual edge.
+    """
+    tokens = list(tokens)
+    trimmed = F.trim(c)
+    plain = (F.length(trimmed) <= max(map(len, tokens))) & F.lower(trimmed).isin(tokens)
+    printable = lambda ch: F.ascii(ch).between(33, 126)
+    unusual = ~printable(trimmed) | ~printable(F.substring(trimmed, -1, 1))
+    choices = "|".join(re.escape(t) for t in tokens if t)
+    pattern = rf"(?iU)^\s*(?:{choices}){'?' if '' in tokens else ''}\s*$"
+    return plain | (unusual & c.rlike(pattern))
 
 
 def is_missing_token(c: Column) -> Column:
     """True for a non-null value that stands for "no value"."""
-    return c.rlike(_MISSING)
+    return is_token(c, rules.MISSING_TOKENS)
 
 
 def is_missing(c: Column) -> Column:
@@ -41,7 +57,11 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Whitespace runs become one space, edges are trimmed."""
-    return F.trim(F.regexp_replace(c, _SPACES, " "))
+    # Plain text with single spaces, the common case, is recognised by byte searches.
+    irregular = (F.octet_length(c) != F.length(c)) | F.contains(c, F.lit("  "))
+    for space in _CONTROL_SPACES:
+        irregular = irregular | F.contains(c, F.lit(space))
+    return F.trim(F.when(irregular, F.regexp_replace(c, _SPACES, " ")).otherwise(c))
 
 
 def title_case(c: Column) -> Column:
@@ -96,11 +116,10 @@ def normalize_gender(c: Column) -> Column:
     by_label: dict[str, list[str]] = {}
     for spelling, label in rules.GENDER_VALUES.items():
         by_label.setdefault(label, []).append(spelling)
-    out = c
+    chain = F
     for label, spellings in by_label.items():
-        pattern = r"(?iU)^\s*(?:{})\s*$".format("|".join(spellings))
-        out = F.when(c.rlike(pattern), F.lit(label)).otherwise(out)
-    return out
+        chain = chain.when(is_token(c, spellings), F.lit(label))
+    return chain.otherwise(c)
 
 
 def zip3(c: Column) -> Column:

@@ -137,11 +137,12 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
     A single aggregate over one scan; every column adds two to four counts.
     """
     counts, entries = [], []
+    raws = df.select(*[spec.raw(df, options).alias(f"r{spec.position}") for spec in specs])
     harbor = options.privacy == "safe_harbor"
     for spec in specs:
         rule = privacy.safe_harbor_rule(spec.name, spec.hint) if harbor else None
-        raw = spec.raw(df, options)
         key = spec.position
+        raw = F.col(f"r{key}")
         counts.append(F.count(raw).alias(f"n{key}"))
         non_null = F.col(f"n{key}")
         typed = spec.primitive != STRING
@@ -178,7 +179,7 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
             (F.when(gated, kept_text).otherwise(kept_typed) == 0).alias("empty"),
         ))
     total = F.count(F.lit(1)).alias("_rows")
-    measured = df.agg(total, *counts).select("_rows", F.inline(F.array(*entries)))
+    measured = raws.agg(total, *counts).select("_rows", F.inline(F.array(*entries)))
     return measured.select(
         F.lit(dataset).alias(DATASET), F.col("_rows").alias("row_count"),
         *[c for c in measured.columns if c not in ("_rows", "empty")],
@@ -218,8 +219,11 @@ class CleaningPlan:
     # --- applying -----------------------------------------------------------
     def project(self, df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         """Rename, normalize, coerce and drop empty columns; no shuffle."""
-        cells = [self.cell(c, c.spec.raw(df, self.options)).alias(c.name) for c in self.kept()]
-        return df.select(*[F.col(k) for k in keys], *cells)
+        # Missing values are settled in a projection of their own: the cells read the
+        # result many times, and Spark keeps the two apart instead of repeating it.
+        own = [F.col(k) for k in keys]
+        raw = df.select(*own, *[c.spec.raw(df, self.options).alias(f"r:{c.name}") for c in self.kept()])
+        return raw.select(*own, *[self.cell(c, F.col(f"`r:{c.name}`")).alias(c.name) for c in self.kept()])
 
     def cell(self, column: ColumnPlan, raw: Column) -> Column:
         return column.spec.cell(raw, self.options, typed=column.target != STRING,

@@ -47,6 +47,16 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, *, sep: s
     raise ValueError(f"unsupported format {kind!r}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few files out to all cores.
+
+    Text work outweighs one shuffle of narrow rows when most cores would idle.  A table
+    with at least as many files as cores, the usual case on a cluster, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def flatten_nested(df: DataFrame) -> DataFrame:
     nested = (T.ArrayType, T.StructType, T.MapType)
     return df.select(*[

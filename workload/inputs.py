@@ -9,6 +9,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claritable.sources.tables import spread
+
 AS_OF = dt.date(2024, 1, 1)
 
 
@@ -114,9 +116,12 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
                      customer=table(spark, sf_dir, "customer"))
 
 
+_CLAIM_SOURCE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CLAIMS.replace("FROM lineitem", "FROM {lineitem}"),
-                     lineitem=table(spark, sf_dir, "lineitem"))
+                     lineitem=spread(table(spark, sf_dir, "lineitem").select(*_CLAIM_SOURCE)))
 
 
 def segment_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
