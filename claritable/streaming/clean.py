@@ -94,8 +94,6 @@ def stream_clean(raw: DataFrame, plan: CleaningPlan, output: str, checkpoint: st
     else:
         def write_batch(batch: DataFrame, batch_id: int) -> None:
             folder = f"batch_id={batch_id}"
-            # Rows, counters and issues are three jobs over the same batch.
-            batch.persist()
             cleaned = plan.transform(batch, keys)
             write_table(cleaned, f"{output}/{folder}", fmt, mode="overwrite")
             if metrics is not None:
@@ -105,7 +103,6 @@ def stream_clean(raw: DataFrame, plan: CleaningPlan, output: str, checkpoint: st
                 found = validate.rule_counts(plan.project(batch, keys), plan.hints, plan.options.as_of,
                                              dataset=plan.dataset, exclude=keys)
                 found.write.mode("overwrite").parquet(f"{issues}/{folder}")
-            batch.unpersist()
 
         writer = raw.writeStream.foreachBatch(write_batch)
     writer = writer.option("checkpointLocation", checkpoint)
