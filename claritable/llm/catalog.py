@@ -1,6 +1,12 @@
 """All queries of the package and the SQL that checks them."""
 
-from claritable.llm import exact_dedup, quality  # noqa: F401
+from claritable.llm import (  # noqa: F401
+    exact_dedup,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+)
 from claritable.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
