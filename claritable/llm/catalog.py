@@ -4,7 +4,9 @@ from claritable.llm import (  # noqa: F401
     exact_dedup,
     line_dedup,
     mixing,
+    pii,
     quality,
+    secrets,
     simhash,
 )
 from claritable.llm.common import ORACLES, QUERIES
