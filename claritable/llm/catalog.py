@@ -8,6 +8,7 @@ from claritable.llm import (  # noqa: F401
     quality,
     secrets,
     simhash,
+    token_files,
 )
 from claritable.llm.common import ORACLES, QUERIES
 

@@ -127,3 +127,22 @@ def encoder(path: str, keep: int = 400_000) -> Encoder:
     if (path, keep) not in _encoders:
         _encoders[path, keep] = Encoder(path, keep)
     return _encoders[path, keep]
+
+
+def map_texts(docs, columns, schema: str, write, path: str | None = None, end_id: int | None = None,
+              text_column: str = "text", rows: int = 256):
+    """Tokenise whole texts, ``rows`` at a time. ``write(keys, ids)`` turns the given columns (Arrow arrays) and the
+    ids of each text, with ``end_id`` behind them, into a record batch of ``schema``."""
+    path = path or vocabulary_path()
+
+    def scan(batches):
+        tokens = encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = tokens.encode(part.column(len(columns)).to_pylist())
+                if end_id is not None:
+                    ids = [np.append(x, np.array(end_id, x.dtype)) for x in ids]
+                yield write([part.column(k) for k in range(len(columns))], ids)
+
+    return docs.select(*columns, text_column).mapInArrow(scan, schema)
