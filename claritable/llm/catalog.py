@@ -4,6 +4,7 @@ from claritable.llm import (  # noqa: F401
     exact_dedup,
     line_dedup,
     mixing,
+    packing,
     pii,
     quality,
     secrets,
