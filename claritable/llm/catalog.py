@@ -2,6 +2,7 @@
 
 from claritable.llm import (  # noqa: F401
     exact_dedup,
+    language,
     line_dedup,
     mixing,
     packing,
