@@ -70,6 +70,18 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RUN))
 
 
+def nested(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as ``doc``, with columns of its own beside it that cannot clash with the input's."""
+    return docs.select(F.struct("*").alias("doc"), *[column.alias(name) for name, column in columns.items()])
+
+
+def unnested(rows: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` again; ``columns`` are added and take the place of the input's of the same name."""
+    taken = {name.lower() for name in columns}
+    return rows.select(*[F.col("doc")[name].alias(name) for name in docs.columns if name.lower() not in taken],
+                       *[column.alias(name) for name, column in columns.items()])
+
+
 def same(*names: str) -> Callable[[str, str], Column]:
     """Null-safe equality of columns that two frames under the given aliases share."""
     def on(a: str, b: str) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claritable.llm.common import SPACE_RUN, documents, query, same, settle
+from claritable.llm.common import SPACE_RUN, documents, nested, query, same, settle, unnested
 
 #: Runs that exchange parts in a round, and entries that a run should hold at most.
 FAN = 4
@@ -114,11 +114,12 @@ def drop_exact_duplicates(docs: DataFrame, fan: int = FAN, run_rows: int = RUN_R
     verdicts = exact_duplicates(docs, fan, run_rows, id_column, text_column)
     stay = verdicts.where("kept").select(_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
     text = F.coalesce(F.col(text_column), F.lit(""))
-    marked = docs.withColumn("_key", _key(F.col(id_column), F.sha2(F.regexp_replace(text, SPACE_RUN, ""), 256)))
+    marked = nested(docs, _key=_key(F.col(id_column), F.sha2(F.regexp_replace(text, SPACE_RUN, ""), 256)),
+                    size=F.length(text))
     # Rows may share id and digest; the one with the most code points stays. The join needs no further shuffle.
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.length(text).desc()))
-    first = marked.withColumn("_place", place).where("_place = 1").drop("_place")
-    return first.join(stay, "_key", "left_semi").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("size")))
+    first = marked.withColumn("place", place).where("place = 1")
+    return unnested(first.join(stay, "_key", "left_semi"), docs)
 
 
 def _key(doc_id: Column, sha: Column) -> Column:

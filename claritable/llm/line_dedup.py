@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claritable.llm.common import WORD, documents, query, settle, trimmed
+from claritable.llm.common import WORD, documents, nested, query, settle, trimmed, unnested
 
 #: Lines that a repeated run has at least.
 RUN = 3
@@ -66,16 +66,15 @@ def deduplicate_lines(docs: DataFrame, run: int = RUN, id_column: str = "doc_id"
     removed = repeated_windows(windows).groupBy(_key(F.col("doc_id"), F.col("mark")).alias("_key")).agg(
         F.array_distinct(F.flatten(F.transform(
             F.collect_set("at"), lambda i: F.sequence(i, i + run - 1)))).alias("_removed"))
-    found = docs.withColumn("_key", _key(F.col(id_column), F.xxhash64(text_column))).join(removed, "_key", "left")
-    found = found.withColumn("_lines", F.split(text_column, "\n"))
+    found = nested(docs, _key=_key(F.col(id_column), F.xxhash64(text_column)), _text=F.col(text_column),
+                   _lines=F.split(text_column, "\n")).join(removed, "_key", "left")
     found = found.withColumn("_full", F.coalesce(_full(F.col("_lines")), F.array().cast("array<int>")))
     found = found.withColumn("_gone", F.transform("_removed", lambda i: F.get("_full", i)))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    columns = [text.alias(c) if c == text_column else F.col(c) for c in docs.columns]
-    return found.select(*columns, F.size("_full").cast("long").alias("n_lines"),
-                        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return unnested(found, docs, **{text_column: text}, n_lines=F.size("_full").cast("long"),
+                    n_removed=F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
 
 
 def _key(doc_id: Column, mark: Column) -> Column:

@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claritable.llm.common import documents, query
+from claritable.llm.common import documents, nested, query, unnested
 
 SEED = 17
 #: Default target: shares in proportion to characters to this power, which lifts small sources.
@@ -78,8 +78,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     rates = distribution(source_rates(docs, weights, power, text_column, source_column))
     # A rate for each source: sent to all tasks if there are few, joined like any table if not.
     few = rates.select("_source").limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-    marked = docs.withColumn("_source", F.coalesce(F.col(source_column), F.lit(""))).withColumn(
-        "_own", F.coalesce(F.col(id_column).cast("string"), F.md5(F.coalesce(F.col(text_column), F.lit("")))))
+    marked = nested(docs, _source=F.coalesce(F.col(source_column), F.lit("")), _own=F.coalesce(
+        F.col(id_column).cast("string"), F.md5(F.coalesce(F.col(text_column), F.lit("")))))
     drawn = marked.join(F.broadcast(rates) if few else rates, "_source")
     count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(
         F.lit(str(seed)), F.col("_own"), j.cast("string"))), F.lit(0), lambda n, u: n + F.size(
@@ -90,8 +90,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
         ":", F.lit(str(seed)), F.lit("order"), "_own", F.col("copy").cast("string"))))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)).cast("int")
-    return (copies.select(*docs.columns, "copy", "shuffle_key").repartitionById(n, place)
-            .sortWithinPartitions("shuffle_key"))
+    placed = copies.drop("cdf", "parts").repartitionById(n, place).sortWithinPartitions("shuffle_key")
+    return unnested(placed, docs, copy=F.col("copy"), shuffle_key=F.col("shuffle_key"))
 
 
 SQL = f"""

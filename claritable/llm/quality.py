@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claritable.llm.common import SPACE_RUN, WORD, documents, query, same, settle, trimmed, words_of
+from claritable.llm.common import SPACE_RUN, WORD, documents, nested, query, same, settle, trimmed, unnested, words_of
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -25,7 +25,8 @@ MAX_REPEAT_PERCENT = 30
 #: A line is above the limit in more than so many documents of a host and in more than one of ``HOST_SHARE`` of them.
 MIN_DOCS = 20
 HOST_SHARE = 20
-#: A document is depleted if fewer than ``MIN_WORDS`` words or than one of ``DEPLETED_SHARE`` words of its lines are left.
+#: A document is depleted if less than one of ``DEPLETED_SHARE`` words of its lines is left, or less than half of them
+#: and fewer than ``MIN_WORDS``.
 DEPLETED_SHARE = 5
 SYMBOLS = "[#*$%&|<>]"
 
@@ -100,7 +101,8 @@ def assess(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int
     failed = (F.col("n_words") < min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     depleted = (F.col("removed_words") > 0) & (
-        (F.col("left_words") < min_words) | (F.col("left_words") * depleted_share < F.col("line_words")))
+        ((F.col("left_words") < min_words) & (F.col("left_words") * 2 < F.col("line_words")))
+        | (F.col("left_words") * depleted_share < F.col("line_words")))
     return judged.select("*", failed.alias("base_failed"), depleted.alias("depleted"),
                          (~failed & ~depleted).alias("kept"))
 
@@ -115,9 +117,9 @@ def drop_poor(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     poor = assess(docs, **options).where(~F.col("kept")).select(
         F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("mark").alias("_mark")).distinct()
     keys = ["_id", "_host", "_mark"]
-    marked = (docs.withColumn("_id", F.col(id_column)).withColumn("_mark", F.xxhash64(text_column))
-              .withColumn("_host", F.coalesce(F.col(host_column), F.lit(""))))
-    return marked.alias("a").join(poor.alias("b"), same(*keys)("a", "b"), "left_anti").select(*docs.columns)
+    marked = nested(docs, _id=F.col(id_column), _mark=F.xxhash64(text_column),
+                    _host=F.coalesce(F.col(host_column), F.lit("")))
+    return unnested(marked.alias("a").join(poor.alias("b"), same(*keys)("a", "b"), "left_anti"), docs)
 
 
 SQL = rf"""
@@ -150,7 +152,8 @@ counts AS (SELECT d.doc_id, len(d.words) AS n_words,
            FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id)
            LEFT JOIN total USING (doc_id)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-                  removed_words > 0 AND (line_words - removed_words < {MIN_WORDS}
+                  removed_words > 0 AND (
+                    line_words - removed_words < {MIN_WORDS} AND 2 * (line_words - removed_words) < line_words
                     OR (line_words - removed_words) * {DEPLETED_SHARE} < line_words) AS depleted FROM counts)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,

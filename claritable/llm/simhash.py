@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claritable.llm.common import documents, query, settle
+from claritable.llm.common import documents, nested, query, settle, unnested
 from claritable.llm.components import components
 
 WORDS = 3
@@ -194,11 +194,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
     stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
     stay = stay.select(_key(F.col("best.doc_id"), F.col("best.mark")).alias("_key"))
-    marked = docs.withColumn("_key", _key(F.col(id_column), F.xxhash64(text_column)))
+    marked = nested(docs, _key=_key(F.col(id_column), F.xxhash64(text_column)))
     # Rows alike in id and text are one document.
     place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    first = marked.withColumn("_place", place).where("_place = 1").drop("_place")
-    return first.join(stay, "_key", "left_semi").select(*docs.columns)
+    first = marked.withColumn("place", place).where("place = 1")
+    return unnested(first.join(stay, "_key", "left_semi"), docs)
 
 
 def _key(doc_id: Column, mark: Column) -> Column:
