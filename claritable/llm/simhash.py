@@ -86,6 +86,11 @@ def _signed(positions: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ; numpy counts the bits of a signed number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges of a spanning forest of the links within one bucket."""
     left, right, rest = [], [], np.arange(len(fps))
@@ -93,7 +98,7 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             step, front = front[:64], front[64:]
-            near = np.bitwise_count(fps[step][:, None] ^ fps[rest][None, :]) <= radius
+            near = _differing(fps[step][:, None], fps[rest][None, :]) <= radius
             met = near.any(0)
             if met.any():
                 left.append(fps[step[near[:, met].argmax(0)]])
@@ -111,7 +116,7 @@ def links(radius: int = RADIUS):
         small = np.repeat(np.where(sizes <= _SMALL, starts, -1), sizes)
         for shift in range(1, min(_SMALL, len(path))):
             hit = np.flatnonzero((small[shift:] == small[:-shift]) & (small[shift:] >= 0)
-                                 & (np.bitwise_count(fps[shift:] ^ fps[:-shift]) <= radius))
+                                 & (_differing(fps[shift:], fps[:-shift]) <= radius))
             left.append(fps[hit])
             right.append(fps[hit + shift])
         for k in np.flatnonzero(sizes > _SMALL):
@@ -192,7 +197,8 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
                          **options) -> DataFrame:
     """The rows of ``docs`` of which one stays for each group, the one with the smallest id, with all columns."""
     found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
-    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    stay = found.groupBy("component_id").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("best"))
     stay = stay.select(_key(F.col("best.doc_id"), F.col("best.mark")).alias("_key"))
     marked = nested(docs, _key=_key(F.col(id_column), F.xxhash64(text_column)))
     # Rows alike in id and text are one document.
