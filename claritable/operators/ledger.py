@@ -71,7 +71,6 @@ def current_runs(events: DataFrame, run: str = "run_id", time: str = "event_time
 
 def list_runs(runs: DataFrame, dataset_id: str | None = None, limit: int = 20) -> DataFrame:
     """Newest runs of one dataset, or of every dataset when none is named."""
-    limit = max(1, min(200, int(limit)))
     order = [F.desc("created_at"), F.desc("run_id")]
     if dataset_id is not None:
         return runs.filter(F.col("dataset_id") == dataset_id).orderBy(*order).limit(limit)
@@ -82,7 +81,7 @@ def list_runs(runs: DataFrame, dataset_id: str | None = None, limit: int = 20) -
 def list_datasets(datasets: DataFrame, limit: int = 25) -> DataFrame:
     """Datasets or workflows, newest first."""
     return (datasets.orderBy(F.desc("created_at"), F.desc("dataset_id"))
-            .limit(max(1, min(100, int(limit)))))
+            .limit(limit))
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -121,12 +120,12 @@ def next_actions(stage: Column) -> Column:
     return F.coalesce(F.try_element_at(table, stage), F.array(F.lit("refresh_workflow")))
 
 
-def precheck_summary(datasets: DataFrame, limit: int = 5) -> DataFrame:
-    """Pre-clean decision and readiness of each profiled dataset, lists cut to five."""
+def precheck_summary(datasets: DataFrame) -> DataFrame:
+    """Pre-clean decision and readiness of each profiled dataset."""
     return datasets.select(
         "dataset_id", F.coalesce("decision", F.lit("needs_review")).alias("decision_status"),
-        F.slice(F.coalesce("reasons", F.array().cast("array<string>")), 1, limit).alias("decision_reasons"),
-        F.slice(F.coalesce("actions", F.array().cast("array<string>")), 1, limit).alias("recommended_actions"),
+        F.coalesce("reasons", F.array().cast("array<string>")).alias("decision_reasons"),
+        F.coalesce("actions", F.array().cast("array<string>")).alias("recommended_actions"),
         "readiness_score", "readiness_band", "primary_domain",
         F.coalesce("sampled", F.lit(False)).alias("is_sampled"))
 

@@ -290,8 +290,12 @@ def profile_flags(profile: DataFrame) -> DataFrame:
     )
 
 
+def _up_to(rows: DataFrame, place: str, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.filter(F.col(place) <= limit)
+
+
 def detect_domains(columns: DataFrame, name: str = "clean_name", position: str = "position",
-                   evidence: int = 12) -> DataFrame:
+                   evidence: int | None = None) -> DataFrame:
     """Domain scores of each dataset from its column names (one row per dataset and column)."""
     col = F.col(name)
     found = F.array(*[F.struct(F.lit(i).alias("domain_order"), F.lit(domain).alias("domain"),
@@ -313,7 +317,7 @@ def detect_domains(columns: DataFrame, name: str = "clean_name", position: str =
     totals = columns.groupBy(DATASET).agg(F.count(F.lit(1)).alias("column_count"))
     order = W.partitionBy(DATASET, "domain").orderBy("position")
     proof = (
-        hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= evidence)
+        _up_to(hits.withColumn("rank", F.row_number().over(order)), "rank", evidence)
         .groupBy(DATASET, "domain")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])
              .alias("evidence_columns"))
@@ -362,8 +366,8 @@ def column_hints(profile: DataFrame, proposals: DataFrame | None = None) -> Data
     )
 
 
-def keep_and_drop(profile: DataFrame, proposals: DataFrame, limit: int = 8) -> DataFrame:
-    """Known columns to keep and, apart from those, to drop; the first ``limit`` of each.
+def keep_and_drop(profile: DataFrame, proposals: DataFrame, limit: int | None = None) -> DataFrame:
+    """Known columns to keep and, apart from those, to drop; the first ``limit`` of each if one is given.
 
     ``proposals`` has ``(dataset_id, column_name, list, rank)`` with list keep or drop.
     """
@@ -372,8 +376,7 @@ def keep_and_drop(profile: DataFrame, proposals: DataFrame, limit: int = 8) -> D
     first = W.partitionBy(DATASET, "list").orderBy("rank", COLUMN)
 
     def cut(rows: DataFrame) -> DataFrame:
-        return (rows.withColumn("place", F.row_number().over(first))
-                .filter(F.col("place") <= limit).drop("rank"))
+        return _up_to(rows.withColumn("place", F.row_number().over(first)), "place", limit).drop("rank")
 
     keep = cut(valid.filter(F.col("list") == "keep"))
     drop = valid.filter(F.col("list") == "drop").join(

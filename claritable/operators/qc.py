@@ -94,8 +94,8 @@ def qc_columns(raw: DataFrame, cleaned: DataFrame, plan_columns: DataFrame, *, d
     )
 
 
-def row_changes(raw: DataFrame, cleaned: DataFrame, key: str, cap: int = 20) -> DataFrame:
-    """Cell-by-cell changes of every row, matched by its key.
+def row_changes(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
+    """All cell-by-cell changes of every row, matched by its key.
 
     Row keys are unique, so the join has no hot key; ``raw`` carries cleaned names.
     """
@@ -119,7 +119,6 @@ def row_changes(raw: DataFrame, cleaned: DataFrame, key: str, cap: int = 20) ->
             .when(F.col("b").isNull(), F.lit("Row exists only in cleaned output.")).alias("note"),
             F.when(both, changed).otherwise(F.slice(changed, 1, 0)).alias("changes"))
         .withColumn("change_count", F.size("changes"))
-        .withColumn("changes", F.slice("changes", 1, cap))
     )
 
 
@@ -131,18 +130,18 @@ def row_diff_sample(raw: DataFrame, cleaned: DataFrame, key: str, limit: int = 5
 
 
 # --- summaries over report tables ---------------------------------------------
-def column_renames(columns: DataFrame, limit: int = 50) -> DataFrame:
-    """Columns whose clean name differs, the first ones by position."""
-
+def column_renames(columns: DataFrame) -> DataFrame:
+    """Columns whose clean name differs, in their order."""
     order = W.partitionBy(DATASET).orderBy("position")
     return (columns.filter(F.col("original_name") != F.col(COLUMN))
-            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+            .withColumn("rank", F.row_number().over(order))
             .select(DATASET, "rank", F.col("original_name").alias("from"), F.col(COLUMN).alias("to")))
 
 
-def _listed(flag: Column, item: Column | str, limit: int = 50) -> Column:
+def _listed(flag: Column) -> Column:
+    """Names of the flagged columns in their order: at most the columns of one table."""
     pairs = F.array_sort(F.collect_list(F.when(flag, F.struct("position", F.col(COLUMN).alias("name")))))
-    return F.slice(F.transform(pairs, lambda x: x["name"]), 1, limit)
+    return F.transform(pairs, lambda x: x["name"])
 
 
 def conversion_summary(plan_columns: DataFrame) -> DataFrame:
@@ -151,17 +150,17 @@ def conversion_summary(plan_columns: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("columns"),
         *[F.count_if(kind == k).alias(f"{k}_columns") for k in ("string", "number", "date", "boolean")],
         F.sum("invalid").alias("invalid_total"),
-        _listed(F.col("invalid") > 0, COLUMN).alias("invalid_columns"),
-        _listed(F.col("coercion_skipped"), COLUMN).alias("skipped_columns"),
+        _listed(F.col("invalid") > 0).alias("invalid_columns"),
+        _listed(F.col("coercion_skipped")).alias("skipped_columns"),
     )
 
 
 def normalization_summary(plan_columns: DataFrame, privacy_mode: str) -> DataFrame:
     typed = F.col("target_type").isin("number", "date", "boolean")
     summary = plan_columns.groupBy(DATASET).agg(
-        _listed(typed, COLUMN).alias("typed_columns"),
+        _listed(typed).alias("typed_columns"),
         F.count_if(typed).alias("typed_count"),
-        *[_listed(F.col("privacy_transform") == t, COLUMN).alias(t)
+        *[_listed(F.col("privacy_transform") == t).alias(t)
           for t in ("columns_masked", "dates_generalized", "zip_truncated")],
         F.count("privacy_transform").alias("privacy_count"),
     )

@@ -28,6 +28,11 @@ def _moment(df: DataFrame, name: str, as_of: dt.date) -> Column:
     return coerce.timestamp(c.cast("string"), as_of)
 
 
+def _midnight(day: dt.date) -> Column:
+    """Start of a day in UTC, whatever the time zone of the driver."""
+    return F.lit(f"{day.isoformat()} 00:00:00+00:00").cast("timestamp")
+
+
 def _amount(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, T.NumericType):
@@ -41,10 +46,10 @@ def rules_for(df: DataFrame, name: str, hint: str | None, as_of: dt.date) -> lis
     found = []
     if hint == "dob" or names.contains_any(lower, ("dob", "birth")):
         found.append(("dob_future", "DOB values in the future",
-                      _moment(df, name, as_of) > F.lit(dt.datetime.combine(as_of, dt.time()))))
+                      _moment(df, name, as_of) > _midnight(as_of)))
     if hint in rules.FUTURE_DATE_HINTS or "date" in lower:
-        limit = dt.datetime.combine(as_of + dt.timedelta(days=1), dt.time())
-        found.append(("date_future", "Dates in the future", _moment(df, name, as_of) > F.lit(limit)))
+        limit = _midnight(as_of + dt.timedelta(days=1))
+        found.append(("date_future", "Dates in the future", _moment(df, name, as_of) > limit))
     for issue, token, pattern, message in rules.CODE_RULES:
         if token in lower:
             found.append((issue, message, violations(F.col(f"`{name}`"), pattern)))

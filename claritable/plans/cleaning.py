@@ -93,12 +93,16 @@ class ColumnSpec:
         cell = as_text(df, self.original)
         return text.normalize_missing(cell) if options.normalize_missing else cell
 
-    def cell(self, raw: Column, options: CleanOptions, *, typed: bool, keep_invalid: bool) -> Column:
-        """The cleaned cell, typed unless unparsed text or a label format stands in it."""
+    def cell(self, raw: Column, options: CleanOptions, *, typed: bool, keep_invalid: bool,
+             parsed: Column | None = None) -> Column:
+        """The cleaned cell, typed unless unparsed text or a label format stands in it.
+
+        ``parsed`` is the typed reading where a projection below has it already.
+        """
         sanitized = text.collapse(raw) if options.sanitize else raw
         steps = self.label_steps(options)
         if typed:
-            out = read_typed(self.primitive, raw, options.as_of)
+            out = read_typed(self.primitive, raw, options.as_of) if parsed is None else parsed
             if keep_invalid:
                 out = F.coalesce(_WRITERS[self.primitive](out), sanitized)
             elif steps:
@@ -225,9 +229,26 @@ class CleaningPlan:
         raw = df.select(*own, *[c.spec.raw(df, self.options).alias(f"r:{c.name}") for c in self.kept()])
         return raw.select(*own, *[self.cell(c, F.col(f"`r:{c.name}`")).alias(c.name) for c in self.kept()])
 
-    def cell(self, column: ColumnPlan, raw: Column) -> Column:
+    def cell(self, column: ColumnPlan, raw: Column, parsed: Column | None = None) -> Column:
         return column.spec.cell(raw, self.options, typed=column.target != STRING,
-                                keep_invalid=column.mode == "safe" and column.invalid > 0)
+                                keep_invalid=column.mode == "safe" and column.invalid > 0, parsed=parsed)
+
+    def project_flagged(self, df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+        """``project`` with ``missing:<name>`` of every raw cell and ``invalid:<name>`` of every typed one.
+
+        Raw cells and their typed readings are settled in projections of their own, so that
+        cells and flags read them without computing them again.
+        """
+        own, typed = [F.col(k) for k in keys], [c for c in self.columns if c.primitive != STRING]
+        rows = df.select(*own, *[c.spec.raw(df, self.options).alias(f"r:{c.name}") for c in self.columns])
+        rows = rows.select("*", *[read_typed(c.primitive, F.col(f"`r:{c.name}`"), self.options.as_of)
+                                  .alias(f"p:{c.name}") for c in typed])
+        raw = lambda c: F.col(f"`r:{c.name}`")
+        parsed = lambda c: F.col(f"`p:{c.name}`")
+        return rows.select(
+            *own, *[self.cell(c, raw(c), parsed(c) if c in typed else None).alias(c.name) for c in self.kept()],
+            *[raw(c).isNull().alias(f"missing:{c.name}") for c in self.columns],
+            *[(raw(c).isNotNull() & parsed(c).isNull()).alias(f"invalid:{c.name}") for c in typed])
 
     def privatize(self, df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         """De-identify projected rows."""

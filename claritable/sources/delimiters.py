@@ -36,11 +36,11 @@ def detect_delimiters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return counts.select("file", best["delimiter"].alias("delimiter"), best["steady"].alias("steady"))
 
 
-def read_mixed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_mixed(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
     """Read files of different delimiters into one all-string table.
 
     The file list, not file contents, is grouped on the driver: one scan per delimiter.
     """
     groups = detect_delimiters(spark, paths).groupBy("delimiter").agg(F.collect_list("file").alias("files"))
-    parts = [read_delimited(spark, row["files"], row["delimiter"]) for row in groups.collect()]
+    parts = [read_delimited(spark, row["files"], row["delimiter"], multiline) for row in groups.collect()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

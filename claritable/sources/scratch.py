@@ -14,11 +14,14 @@ _local: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting (tests on one machine) a temporary folder stands in.
+    Without that setting a temporary folder stands in on one machine; a cluster, whose
+    machines would each write to a folder of their own, raises.
     """
     named = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF, None)
     if named:
         return named
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set {CONF} to a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="claritable-")

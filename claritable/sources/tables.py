@@ -13,7 +13,6 @@ from claritable.operators.cells import as_text
 # Format of each file extension.
 FORMATS = {"csv": "csv", "tsv": "tsv", "txt": "csv", "jsonl": "jsonl", "ndjson": "jsonl",
            "parquet": "parquet"}
-EXACT_COUNT_BYTES = 10 * 1024 * 1024
 
 
 def detect_format(path: str) -> str:
@@ -21,19 +20,43 @@ def detect_format(path: str) -> str:
     return FORMATS.get(match.group(1).lower(), "csv") if match else "csv"
 
 
+def delimited_options(sep: str = ",") -> dict[str, str]:
+    """What readers and writers of delimited text agree on, batch and streaming alike."""
+    return {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": "UTF-8",
+            # Cells come back as they were, white space and empty text included.
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""'}
+
+
+def _reading(sep: str, multiline: bool) -> dict[str, str]:
+    return {**delimited_options(sep), "emptyValue": "", "inferSchema": "false", "multiLine": str(multiline).lower()}
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",",
-                   multiline: bool = False) -> DataFrame:
-    """Delimited text with every column a string.
+                   multiline: bool = True) -> DataFrame:
+    """Delimited text with every column a string; line breaks inside quotes belong to their cell.
 
-    ``multiline`` allows line breaks inside quotes, at the price of unsplittable files.
+    ``multiline=False`` lets Spark split large files between tasks.  It is for files whose
+    cells hold no line breaks: a line with an odd number of quotes raises.
     """
-    return (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
-            .option("encoding", "UTF-8").option("escape", '"').option("multiLine", multiline)
-            .csv(path))
+    if not multiline:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
+            raise ValueError("a quoted cell spans lines; read with multiline=True")
+    return spark.read.options(**_reading(sep, multiline)).csv(path)
+
+
+def read_delimited_stream(spark: SparkSession, path: str, columns: list[str], sep: str = ",",
+                          files_per_trigger: int | None = None, multiline: bool = True) -> DataFrame:
+    """A folder of delimited files as a stream of all-string rows; the schema is fixed up front."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    reader = spark.readStream.schema(schema).options(**_reading(sep, multiline))
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.csv(path)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, *, sep: str | None = None,
-               multiline: bool = False) -> DataFrame:
+               multiline: bool = True) -> DataFrame:
     """Read by extension or by ``fmt``; nested JSON values become JSON text."""
     kind = fmt or detect_format(path)
     if kind == "parquet":
@@ -47,16 +70,6 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, *, sep: s
     raise ValueError(f"unsupported format {kind!r}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few files out to all cores.
-
-    Text work outweighs one shuffle of narrow rows when most cores would idle.  A table
-    with at least as many files as cores, the usual case on a cluster, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def flatten_nested(df: DataFrame) -> DataFrame:
     nested = (T.ArrayType, T.StructType, T.MapType)
     return df.select(*[
@@ -69,8 +82,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
     kind = fmt or detect_format(path)
     writer = df.write.mode(mode)
     if kind in ("csv", "tsv"):
-        writer.option("header", True).option("escape", '"').option(
-            "sep", "\t" if kind == "tsv" else ",").csv(path)
+        writer.options(**delimited_options("\t" if kind == "tsv" else ",")).csv(path)
     elif kind == "jsonl":
         writer.option("ignoreNullFields", False).json(path)
     elif kind == "parquet":
@@ -80,37 +92,41 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "e
 
 
 def preview(df: DataFrame, order_by: str | Column, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of rows in key order; only ``offset + limit`` rows per task are kept."""
+    """One page of rows in key order; only ``offset + limit`` rows per task are kept.
+
+    For pages deep in a large table use :func:`page_after`.
+    """
     return df.orderBy(order_by).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, key: str, after=None, limit: int = 50) -> DataFrame:
+    """The rows whose key follows ``after``; each task keeps ``limit`` rows however deep the page lies."""
+    rows = df if after is None else df.filter(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(limit)
+
+
+def counted_preview(df: DataFrame, order_by: str | Column, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page with the table's ``row_count`` beside every row."""
+    return preview(df, order_by, limit, offset).withColumn("row_count", F.lit(df.count()).cast("bigint"))
+
+
 def row_count(spark: SparkSession, path: str, fmt: str | None = None) -> int:
     """Exact rows: Parquet footers, or lines of text less one header per file."""
     kind = fmt or detect_format(path)
     if kind == "parquet":
         return spark.read.parquet(path).count()
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"))
-    per_file = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
-    header = 1 if kind in ("csv", "tsv") else 0
-    total = per_file.agg(F.sum(F.greatest(F.lit(0), F.col("lines") - header)).alias("n")).collect()[0]["n"]
-    return int(total or 0)
+    return int(rows_per_file(spark, path, kind).agg(F.sum("row_estimate").alias("n")).first()["n"] or 0)
 
 
-def estimate_rows(spark: SparkSession, path: str, fmt: str | None = None,
-                  fraction: float = 0.01, seed: int = 42) -> DataFrame:
-    """Rows per text file from its size and the mean length of sampled lines.
+def rows_per_file(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """``file, bytes, row_estimate``: the lines of every text file, less its header.
 
-    Files up to 10 MiB are counted exactly; the others read a sample of their lines.
+    All lines are counted, with counts combined in each task; only line breaks inside
+    quoted cells make it an estimate.
     """
-    kind = fmt or detect_format(path)
-    header = 1 if kind in ("csv", "tsv") else 0
+    header = 1 if (fmt or detect_format(path)) in ("csv", "tsv") else 0
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"),
-        (F.octet_length("value") + 1).alias("width"))
-    small = F.col("bytes") <= EXACT_COUNT_BYTES
-    sampled = lines.filter(small | (F.rand(seed) < fraction))
-    estimate = F.when(F.max("bytes") <= EXACT_COUNT_BYTES, F.count(F.lit(1))).otherwise(
-        F.floor(F.max("bytes") / F.avg("width")))
-    return sampled.groupBy("file").agg(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return lines.groupBy("file").agg(
         F.max("bytes").alias("bytes"),
-        F.greatest(F.lit(0), estimate - header).cast("bigint").alias("row_estimate"))
+        F.greatest(F.lit(0), F.count(F.lit(1)) - header).cast("bigint").alias("row_estimate"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claritable import rules
 from claritable.operators import validate
-from claritable.operators.cells import COLUMN, DATASET
-from claritable.plans.cleaning import STRING, CleaningPlan, ColumnPlan, read_typed
-from claritable.sources.tables import write_table
+from claritable.operators.cells import COLUMN
+from claritable.plans.cleaning import STRING, CleaningPlan
+from claritable.sources.tables import delimited_options, write_table
 
 _FORMATS = {"csv": "csv", "jsonl": "json", "parquet": "parquet"}
 
@@ -24,8 +23,6 @@ def warnings_for(plan: CleaningPlan, streaming: bool = True) -> list[str]:
         found.append(rules.WARN_FAST)
     if streaming and options.remove_duplicates:
         found.append(rules.WARN_STREAM_DEDUP)
-    if streaming and options.drop_empty_columns:
-        found.append(rules.WARN_STREAM_EMPTY)
     if not options.normalize_missing:
         found.append(rules.WARN_ULTRA_MISSING)
     if not options.validates:
@@ -33,45 +30,52 @@ def warnings_for(plan: CleaningPlan, streaming: bool = True) -> list[str]:
     return found
 
 
-def read_delimited_stream(spark: SparkSession, path: str, columns: list[str], sep: str = ",",
-                          files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of delimited files as a stream of all-string rows; the schema is fixed up front."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.schema(schema).option("header", True).option("sep", sep)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.csv(path)
+class CountedBatch:
+    """A micro-batch cleaned for its output, counted by Spark as it is written.
 
-
-def batch_metrics(raw: DataFrame, plan: CleaningPlan, batch_id: int) -> DataFrame:
-    """Rows, missing and invalid cells of one micro-batch, one row per column.
-
-    Raw and cleaned cells of a row stand side by side, so one scan counts both.
+    The counters are sums over the projected rows that ``observe`` takes on their way to
+    the output: the batch is read once and cleaned once.  They are there after the write.
     """
-    pairs = []
-    for column in plan.columns:
-        spec = column.spec
-        cell = spec.raw(raw, plan.options)
-        after = F.lit(None).cast("string") if column.dropped else plan.cell(column, cell)
-        pairs.append(F.struct(
-            F.lit(column.name).alias(COLUMN), cell.isNull().alias("raw_missing"),
-            after.isNull().alias("clean_missing"), _is_invalid(raw, column, plan).alias("invalid")))
-    return (
-        raw.select(F.inline(F.array(*pairs)))
-        .groupBy(COLUMN).agg(
-            F.count(F.lit(1)).alias("rows_raw"), F.count(F.lit(1)).alias("rows_cleaned"),
-            F.count_if("raw_missing").alias("missing_raw"),
-            F.count_if("clean_missing").alias("missing_cleaned"),
-            F.count_if("invalid").alias("invalid"))
-        .select(F.lit(plan.dataset).alias(DATASET), F.lit(batch_id).cast("bigint").alias("batch_id"), "*")
-    )
-
-
-def _is_invalid(raw: DataFrame, column: ColumnPlan, plan: CleaningPlan) -> Column:
-    if column.primitive == STRING:
-        return F.lit(False)
-    cell = column.spec.raw(raw, plan.options)
-    return cell.isNotNull() & read_typed(column.primitive, cell, plan.options.as_of).isNull()
+
+    def __init__(self, batch: DataFrame, plan: CleaningPlan, keys: tuple[str, ...], batch_id: int):
+        self.plan, self.batch_id, self.seen = plan, batch_id, Observation()
+        rows = plan.project_flagged(batch, keys)
+        self.checks = [
+            (name, *rule) for name in (c.name for c in plan.kept()) for rule in
+            validate.rules_for(rows, name, plan.hints.get(name), plan.options.as_of)
+        ] if plan.options.validates else []
+        count = lambda flag, name: F.count_if(flag).alias(name)
+        sums = [F.count(F.lit(1)).alias("rows")]
+        for c in plan.columns:
+            sums.append(count(F.col(f"`missing:{c.name}`"), f"missing:{c.name}"))
+            if not c.dropped:
+                sums.append(count(F.col(f"`{c.name}`").isNull(), f"left:{c.name}"))
+            if c.primitive != STRING:
+                sums.append(count(F.col(f"`invalid:{c.name}`"), f"invalid:{c.name}"))
+        sums += [count(failing, f"rule:{i}") for i, (_, _, _, failing) in enumerate(self.checks)]
+        kept = [*keys, *(c.name for c in plan.kept())]
+        self.rows = plan.privatize(
+            rows.observe(self.seen, *sums).select(*[F.col(f"`{c}`") for c in kept]), keys)
+        self.spark = batch.sparkSession
+
+    def metrics(self) -> DataFrame:
+        """Rows, missing and invalid cells of the written batch, one row per column."""
+        found = self.seen.get
+        total = found["rows"]
+        return self.spark.createDataFrame(
+            [(self.plan.dataset, self.batch_id, c.name, total, total, found[f"missing:{c.name}"],
+              found.get(f"left:{c.name}", total), found.get(f"invalid:{c.name}", 0)) for c in self.plan.columns],
+            "dataset_id string, batch_id bigint, column_name string, rows_raw bigint, rows_cleaned bigint, "
+            "missing_raw bigint, missing_cleaned bigint, invalid bigint")
+
+    def issues(self) -> DataFrame:
+        """Failing rows of every rule and column of the written batch."""
+        found, order = self.seen.get, list(rules.ISSUE_WEIGHTS)
+        return self.spark.createDataFrame(
+            [(self.plan.dataset, found["rows"], order.index(issue), issue, name, message, found[f"rule:{i}"])
+             for i, (name, issue, message, _) in enumerate(self.checks)],
+            "dataset_id string, row_count bigint, rule_order int, issue_type string, column_name string, "
+            "message string, count bigint")
 
 
 def stream_clean(raw: DataFrame, plan: CleaningPlan, output: str, checkpoint: str, *,
@@ -88,21 +92,18 @@ def stream_clean(raw: DataFrame, plan: CleaningPlan, output: str, checkpoint: st
     if metrics is None and issues is None:
         writer = plan.transform(raw, keys).writeStream.format(_FORMATS[fmt]).option("path", output)
         if fmt == "csv":
-            writer = writer.option("header", True)
+            writer = writer.options(**delimited_options())
         if fmt == "jsonl":
             writer = writer.option("ignoreNullFields", False)
     else:
         def write_batch(batch: DataFrame, batch_id: int) -> None:
             folder = f"batch_id={batch_id}"
-            cleaned = plan.transform(batch, keys)
-            write_table(cleaned, f"{output}/{folder}", fmt, mode="overwrite")
+            counted = CountedBatch(batch, plan, keys, batch_id)
+            write_table(counted.rows, f"{output}/{folder}", fmt, mode="overwrite")
             if metrics is not None:
-                batch_metrics(batch, plan, batch_id).write.mode("overwrite").parquet(
-                    f"{metrics}/{folder}")
+                counted.metrics().write.mode("overwrite").parquet(f"{metrics}/{folder}")
             if issues is not None and plan.options.validates:
-                found = validate.rule_counts(plan.project(batch, keys), plan.hints, plan.options.as_of,
-                                             dataset=plan.dataset, exclude=keys)
-                found.write.mode("overwrite").parquet(f"{issues}/{folder}")
+                counted.issues().write.mode("overwrite").parquet(f"{issues}/{folder}")
 
         writer = raw.writeStream.foreachBatch(write_batch)
     writer = writer.option("checkpointLocation", checkpoint)
@@ -116,7 +117,11 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch_id=*")
 
 
-def progress_percent(query, total_rows: int) -> int:
-    """Share of the expected rows already read, at most 99 until the stream ends."""
-    read = sum(p["numInputRows"] for p in query.recentProgress)
+def progress_percent(metrics: DataFrame, total_rows: int) -> int:
+    """Share of the expected rows that the written batches hold, at most 99 until the stream ends.
+
+    Read from the counters, which know every batch; a query's own progress keeps the last ones only.
+    """
+    first = metrics.agg(F.min(COLUMN)).first()[0]
+    read = metrics.filter(F.col(COLUMN) == first).agg(F.sum("rows_raw")).first()[0] or 0
     return min(99, int(read / max(1, total_rows) * 100))

@@ -2,13 +2,14 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from claritable import CleanOptions, fit
 from claritable.operators import ledger, qc
 from claritable.plans.autopilot import autopilot, autopilot_options
 from claritable.plans.runs import clean_run, precheck
-from claritable.sources import delimiters, generator, scratch, tables
+from claritable.sources import delimiters, scratch, tables
 from claritable.streaming import clean as streaming
 
 AS_OF = dt.date(2026, 1, 1)
@@ -55,7 +56,7 @@ def test_streaming_equals_batch_and_counts_once(spark, tmp_path):
     source = str(tmp_path / "in")
     df.repartition(2).write.option("header", True).csv(source)
     plan = fit(df, CleanOptions(as_of=AS_OF, remove_duplicates=False), streaming=True)
-    raw = streaming.read_delimited_stream(spark, source, df.columns, files_per_trigger=1)
+    raw = tables.read_delimited_stream(spark, source, df.columns, files_per_trigger=1)
     query = streaming.stream_clean(raw, plan, str(tmp_path / "out"), str(tmp_path / "cp"),
                                    metrics=str(tmp_path / "m"), issues=str(tmp_path / "i"))
     query.awaitTermination()
@@ -70,9 +71,47 @@ def test_a_repeated_batch_is_counted_once(spark, tmp_path):
     df = spark.createDataFrame([("1",), ("?",)], "a string")
     plan = fit(df, CleanOptions(as_of=AS_OF))
     for _ in range(2):
-        streaming.batch_metrics(df, plan, 7).write.mode("overwrite").parquet(str(tmp_path / "batch_id=7"))
-    row = qc.merge_batches(streaming.read_metrics(spark, str(tmp_path))).collect()[0]
+        counted = streaming.CountedBatch(df, plan, (), 7)
+        counted.rows.write.mode("overwrite").parquet(str(tmp_path / "rows"))
+        counted.metrics().write.mode("overwrite").parquet(str(tmp_path / "m/batch_id=7"))
+    metrics = streaming.read_metrics(spark, str(tmp_path / "m"))
+    row = qc.merge_batches(metrics).collect()[0]
     assert (row["rows_raw"], row["missing_raw"]) == (2, 1)
+    assert streaming.progress_percent(metrics, 8) == 25 and streaming.progress_percent(metrics, 2) == 99
+
+
+def test_quoted_cells_read_alike_in_batch_and_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text('id,note\n1,"say ""hi"", ok"\n2,"two\nlines"\n3," padded "\n')
+    want = [("1", 'say "hi", ok'), ("2", "two\nlines"), ("3", " padded ")]
+    assert sorted(map(tuple, tables.read_table(spark, str(tmp_path / "in/a.csv")).collect())) == want
+    stream = tables.read_delimited_stream(spark, str(tmp_path / "in"), ["id", "note"])
+    (stream.writeStream.format("csv").options(**tables.delimited_options()).option("path", str(tmp_path / "out"))
+     .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination())
+    again = tables.read_delimited(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, again.collect())) == want
+    with pytest.raises(ValueError):
+        tables.read_delimited(spark, str(tmp_path / "in/a.csv"), multiline=False)
+
+
+def test_every_file_is_counted(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    for k in range(3):
+        (tmp_path / f"f/{k}.csv").write_text("a\n" + ("x" * 400_000 + "\n") * (30 + k))
+    got = sorted(r["row_estimate"] for r in tables.rows_per_file(spark, str(tmp_path / "f"), "csv").collect())
+    assert got == [30, 31, 32] and tables.row_count(spark, str(tmp_path / "f"), "csv") == 93
+
+
+def test_all_changes_and_columns_are_listed(spark):
+    wide = {f"Col {k}": str(k) for k in range(60)}
+    raw = spark.createDataFrame([(1, *wide.values())], ["key", *[f"col_{k}" for k in range(60)]])
+    after = raw.select("key", *[F.concat(F.col(f"col_{k}"), F.lit("!")).alias(f"col_{k}") for k in range(60)])
+    row = qc.row_changes(raw, after, "key").collect()[0]
+    assert row["change_count"] == 60 and len(row["changes"]) == 60
+    plan = fit(spark.createDataFrame([tuple(wide.values())], list(wide)), CleanOptions(as_of=AS_OF))
+    columns = plan.conversion(spark)
+    assert qc.column_renames(columns).count() == 60
+    assert len(qc.normalization_summary(columns, "none").collect()[0]["typed_columns"]) == 60
 
 
 def test_pages_and_counts(spark, tmp_path):
@@ -95,19 +134,6 @@ def test_delimiters_ignore_quoted_text(spark, tmp_path):
     assert found == {"a.csv": ";", "b.txt": "|"}
 
 
-def test_generated_rows_do_not_depend_on_partitioning(spark):
-    one = generator.messy_table(spark, 40, partitions=1).orderBy("row_id").collect()
-    many = generator.messy_table(spark, 40, partitions=7).orderBy("row_id").collect()
-    assert one == many and len(one[0]) == 87
-
-
-def test_wide_generated_table_fits_and_cleans(spark):
-    df = generator.messy_table(spark, 300, partitions=2)
-    plan = fit(df, CleanOptions.for_use("training", as_of=AS_OF), exclude=("row_id",))
-    out = plan.clean(df, "row_id")
-    assert len(plan.columns) == 86 and out.count() == 300
-
-
 def test_ledger_keeps_the_latest_state(spark, tmp_path):
     book = ledger.RunLedger(spark, str(tmp_path / "runs"))
     book.record("d1", "r1", "running", performance_mode="fast")

@@ -201,7 +201,7 @@ _PARSED = {
 _TARGET = {"dob": "date", "visit_date": "date", "paid_amount": "number", "consent_flag": "boolean"}
 
 
-def _gate(mode: str) -> str:
+def gate_sql(mode: str, with_messy: str = M) -> str:
     parts = []
     for i, c in enumerate(MESSY_COLUMNS):
         parsed = _PARSED.get(c)
@@ -211,7 +211,7 @@ def _gate(mode: str) -> str:
             f"SELECT {i} AS position, {sql.quote(c)} AS column_name, count({sql.norm(c)}) AS non_null, "
             f"{parsed or 'NULL'} AS parsed, {sql.quote(kind) if kind else 'NULL'} AS wanted, "
             f"{sql.quote(own)} AS own_mode FROM messy")
-    return f"""{M}, measured AS ({' UNION ALL '.join(parts)})
+    return f"""{with_messy}, measured AS ({' UNION ALL '.join(parts)})
 SELECT column_name, non_null, CASE WHEN wanted IS NULL THEN 0 ELSE non_null - parsed END AS invalid,
  CASE WHEN wanted IS NOT NULL THEN round_even(parsed::DOUBLE / non_null, 3) END AS success_ratio,
  CASE WHEN wanted IS NULL OR parsed::DOUBLE / non_null < 0.6 THEN 'string' ELSE wanted END AS target_type,
@@ -223,13 +223,13 @@ for _mode in ("safe", "strict"):
     def _gated(spark, sf, mode=_mode):
         return _messy_plan_columns(spark, sf, coercion=mode).select(
             COLUMN, "non_null", "invalid", "success_ratio", "target_type", "coercion_mode", "coercion_skipped")
-    query("coercion_gate" if _mode == "safe" else "critical_dates", _gate(_mode))(_gated)
+    query("coercion_gate" if _mode == "safe" else "critical_dates", gate_sql(_mode))(_gated)
 
 
 @query("conversion_summary", f"""SELECT count(*) AS columns, count(*) FILTER (target_type = 'string') AS string_columns,
  count(*) FILTER (target_type = 'number') AS number_columns, count(*) FILTER (target_type = 'date') AS date_columns,
  count(*) FILTER (target_type = 'boolean') AS boolean_columns, CAST(sum(invalid) AS BIGINT) AS invalid_total
-FROM ({_gate('safe')})""")
+FROM ({gate_sql('safe')})""")
 def _(spark, sf):
     return qc.conversion_summary(_messy_plan_columns(spark, sf)).drop(DATASET, "invalid_columns", "skipped_columns")
 
@@ -238,7 +238,7 @@ def _(spark, sf):
  string_agg(column_name, ',' ORDER BY column_name) FILTER (target_type <> 'string') AS typed_columns,
  string_agg(column_name, ',' ORDER BY column_name) FILTER (column_name IN ('patient_id', 'phone', 'email', 'patient_name')) AS masked,
  string_agg(column_name, ',' ORDER BY column_name) FILTER (column_name IN ('dob', 'visit_date')) AS generalized
-FROM ({_gate('safe')})""")
+FROM ({gate_sql('safe')})""")
 def _(spark, sf):
     joined = lambda c: F.array_join(F.sort_array(c), ",")
     return qc.normalization_summary(_messy_plan_columns(spark, sf, privacy="safe_harbor"), "safe_harbor").select(

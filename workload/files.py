@@ -1,4 +1,4 @@
-"""Formats, delimiters, paging, row counts, the generator and the streaming clean."""
+"""Formats, delimiters, paging, row counts and the streaming clean."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from claritable.operators import qc
 from claritable.operators.cells import COLUMN
 from claritable.sources import delimiters, tables
-from claritable.sources.generator import messy_rows
 from claritable.sources.scratch import new_path
 from claritable.streaming import clean as streaming
 from workload import sql
-from workload.cleaning import CLEAN_MESSY_SQL, messy_plan
-from workload.inputs import MESSY, MESSY_COLUMNS, table
+from workload.cleaning import CLEAN_MESSY_SQL, gate_sql, messy_plan
+from workload.inputs import MESSY, MESSY_COLUMNS, messy, table
 from workload.registry import query
 from workload.scores import MESSY_RULES, failing
 
@@ -38,7 +37,7 @@ def _(spark, sf):
     path = f"{new_path(spark, 'quoted')}.csv"
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string"), "text", "lang")
     tables.write_table(docs, path)
-    return tables.read_table(spark, path, multiline=True)
+    return tables.read_table(spark, path)
 
 
 @query("jsonl_nested", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -78,42 +77,36 @@ def _(spark, sf):
     return tables.preview(table(spark, sf, "orders"), "o_orderkey", 50, 100).select("o_orderkey", "o_orderstatus")
 
 
-@query("row_estimate", "SELECT 'csv' AS format, count(*) AS rows FROM lineitem UNION ALL SELECT 'jsonl', count(*) FROM lineitem "
-       "UNION ALL SELECT 'parquet', count(*) FROM lineitem")
+@query("preview_counted", "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders) AS row_count FROM orders "
+       "ORDER BY o_orderkey LIMIT 50")
 def _(spark, sf):
-    items = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
-    out = None
-    for fmt in ("csv", "jsonl"):
-        path = f"{new_path(spark, 'estimate')}.{fmt}"
-        tables.write_table(items, path)
-        rows = tables.estimate_rows(spark, path).agg(F.lit(fmt).alias("format"), F.sum("row_estimate").alias("rows"))
-        out = rows if out is None else out.unionByName(rows)
-    counted = table(spark, sf, "lineitem").agg(F.lit("parquet").alias("format"), F.count(F.lit(1)).alias("rows"))
-    return out.unionByName(counted)
-
-
-# --- generator --------------------------------------------------------------
-_CHECKED = {
-    "record": ("Record ID", r"^R-\d{10}$"), "patient": ("Patient ID", r"^PT-\d{8}$"),
-    "claim": ("Claim ID", r"^CLM-\d{10}$"), "device": ("Device ID", r"^DEV-\d{10}$"),
-    "encounter": ("Encounter ID", r"^ENC-\d{10}$"), "heart_rate": ("Heart Rate", r"^\d{2,3}$"),
-}
+    return tables.counted_preview(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 50)
 
 
-@query("gen_messy", "SELECT c_custkey AS row_id, 87 AS columns, " + ", ".join(
-    f"true AS {c}_ok" for c in _CHECKED) + " FROM customer")
+@query("preview_deep", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 10000 ORDER BY o_orderkey LIMIT 20")
 def _(spark, sf):
-    from claritable.functions import text
-    rows = messy_rows(table(spark, sf, "customer"), "c_custkey")
-    valid = lambda c, p: text.is_missing_token(F.col(f"`{c}`")) | F.trim(f"`{c}`").rlike(p)
-    return rows.select("row_id", F.lit(len(rows.columns)).alias("columns"),
-                       *[valid(c, p).alias(f"{name}_ok") for name, (c, p) in _CHECKED.items()])
+    return tables.page_after(table(spark, sf, "orders"), "o_orderkey", 10000, 20).select("o_orderkey", "o_orderstatus")
 
 
-@query("gen_messy_rows")
+_ESTIMATED = {
+    "csv": "lineitem", "jsonl": "lineitem",
+    # Long cells and few rows: each line is one document, its line breaks written as spaces.
+    "long": "documents",
+}
+
+
+@query("row_estimate", " UNION ALL ".join(
+    f"SELECT '{k}' AS format, count(*) AS rows FROM {t}" for k, t in {**_ESTIMATED, "parquet": "lineitem"}.items()))
 def _(spark, sf):
-    """All 86 generated columns, one row per customer."""
-    return messy_rows(table(spark, sf, "customer"), "c_custkey")
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    docs = table(spark, sf, "documents").select("doc_id", F.repeat(F.regexp_replace("text", r"\s+", " "), F.lit(6)).alias("text"))
+    out = table(spark, sf, "lineitem").agg(F.lit("parquet").alias("format"), F.count(F.lit(1)).alias("rows"))
+    for name, rows, fmt in (("csv", items, "csv"), ("jsonl", items, "jsonl"), ("long", docs.coalesce(1), "csv")):
+        path = f"{new_path(spark, 'estimate')}.{fmt}"
+        tables.write_table(rows, path)
+        counted = tables.rows_per_file(spark, path)
+        out = out.unionByName(counted.agg(F.lit(name).alias("format"), F.sum("row_estimate").alias("rows")))
+    return out
 
 
 # --- streaming --------------------------------------------------------------
@@ -123,11 +116,11 @@ def _customer_stream(spark, sf):
     return spark.sql(MESSY.replace("FROM customer", "FROM {customer}"), customer=source)
 
 
-def _run_stream(spark, sf, **sinks):
+def _run_stream(spark, sf, source=None, **sinks):
     root = new_path(spark, "stream")
     plan = messy_plan(spark, sf, remove_duplicates=False)
     paths = {name: f"{root}/{name}" for name in sinks}
-    started = streaming.stream_clean(_customer_stream(spark, sf), plan, f"{root}/rows", f"{root}/checkpoint",
+    started = streaming.stream_clean(source or _customer_stream(spark, sf), plan, f"{root}/rows", f"{root}/checkpoint",
                                      keys=("row_id",), **paths)
     started.awaitTermination()
     return root
@@ -148,14 +141,55 @@ _CLEAN_MISSING = " UNION ALL ".join(
     + " AS missing_cleaned FROM cleaned" for c in MESSY_COLUMNS)
 
 
-@query("stream_metrics", f"""{sql.WITH_MESSY}, cleaned AS ({CLEAN_MESSY_SQL}), r AS ({_RAW_MISSING}), c AS ({_CLEAN_MISSING})
-SELECT column_name, CAST(rows_raw AS BIGINT) AS rows_raw, missing_raw, missing_cleaned,
+def _metrics_of(spark, root):
+    return qc.merge_batches(streaming.read_metrics(spark, f"{root}/metrics")).select(
+        COLUMN, "rows_raw", "missing_raw", "missing_cleaned", "invalid", "missing_pct_raw", "missing_pct_cleaned")
+
+
+_METRICS = f"""{sql.WITH_MESSY}, cleaned AS ({CLEAN_MESSY_SQL}), r AS ({_RAW_MISSING}), c AS ({_CLEAN_MISSING}),
+g AS ({gate_sql('safe')})
+SELECT column_name, CAST(rows_raw AS BIGINT) AS rows_raw, missing_raw, missing_cleaned, invalid,
  {sql.pct('missing_raw', 'rows_raw')} AS missing_pct_raw, {sql.pct('missing_cleaned', 'rows_raw')} AS missing_pct_cleaned
-FROM r JOIN c USING (column_name)""")
+FROM r JOIN c USING (column_name) JOIN g USING (column_name)"""
+
+
+@query("stream_metrics", _METRICS)
 def _(spark, sf):
-    root = _run_stream(spark, sf, metrics=True)
-    return qc.merge_batches(streaming.read_metrics(spark, f"{root}/metrics")).select(
-        COLUMN, "rows_raw", "missing_raw", "missing_cleaned", "missing_pct_raw", "missing_pct_cleaned")
+    return _metrics_of(spark, _run_stream(spark, sf, metrics=True))
+
+
+# --- delimited streams ---
+def _customer_files(spark, sf):
+    """The messy table as a folder of comma-separated files."""
+    path = f"{new_path(spark, 'messy')}.csv"
+    tables.write_table(messy(spark, sf).withColumn("row_id", F.col("row_id").cast("string")), path)
+    return tables.read_delimited_stream(spark, path, ["row_id", *MESSY_COLUMNS], files_per_trigger=2).withColumn(
+        "row_id", F.col("row_id").cast("bigint"))
+
+
+@query("stream_clean_csv", f"{sql.WITH_MESSY} {CLEAN_MESSY_SQL}")
+def _(spark, sf):
+    from claritable.functions import coerce
+    root = _run_stream(spark, sf, source=_customer_files(spark, sf))
+    return spark.read.parquet(f"{root}/rows").withColumn("visit_date", coerce.date_to_text(F.col("visit_date")))
+
+
+@query("stream_metrics_csv", _METRICS)
+def _(spark, sf):
+    return _metrics_of(spark, _run_stream(spark, sf, source=_customer_files(spark, sf), metrics=True))
+
+
+@query("stream_documents_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5('\"' || text || '\"') AS text_md5, lang FROM documents")
+def _(spark, sf):
+    """Quotes, commas and line breaks through a delimited source and sink of a stream."""
+    root = new_path(spark, "quoted")
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string"), F.concat(F.lit('"'), "text", F.lit('"')).alias("text"), "lang")
+    tables.write_table(docs, f"{root}/in.csv")
+    rows = tables.read_delimited_stream(spark, f"{root}/in.csv", ["doc_id", "text", "lang"])
+    (rows.writeStream.format("csv").options(**tables.delimited_options()).option("path", f"{root}/out.csv")
+     .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return tables.read_table(spark, f"{root}/out.csv").select("doc_id", F.md5("text").alias("text_md5"), "lang")
 
 
 @query("stream_issues", f"""{sql.WITH_MESSY}, cleaned AS ({CLEAN_MESSY_SQL}) """ + " UNION ALL ".join(

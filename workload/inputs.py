@@ -9,8 +9,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claritable.sources.tables import spread
-
 AS_OF = dt.date(2024, 1, 1)
 
 
@@ -121,7 +119,7 @@ _CLAIM_SOURCE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quan
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CLAIMS.replace("FROM lineitem", "FROM {lineitem}"),
-                     lineitem=spread(table(spark, sf_dir, "lineitem").select(*_CLAIM_SOURCE)))
+                     lineitem=table(spark, sf_dir, "lineitem").select(*_CLAIM_SOURCE))
 
 
 def segment_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
