@@ -28,6 +28,14 @@ _YEAR_LAST = rf"^\s*\d{{1,2}}{_SEP}\d{{1,2}}{_SEP}\d{{2}}(?:\d{{2}})?(?!\d)"
 _NAMED = rf"(?i)({_MONTH_NAME})"
 _COMPACT = r"^\s*(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\s*$"
 
+# Everyday forms that are brought to one of the others first: half-day clocks, weekday names, compact
+# dates with a time, and a month without a day (its first day).
+_HALF_DAY = r"(?i)^(.*?[ T,])\s*(0?[1-9]|1[0-2])(:\d{2}(?::\d{2})?)\s*([ap])\.?m\.?\s*$"
+_WEEKDAY = r"(?i)^\s*(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?[.,]*\s+(?=\S)"
+_COMPACT_TIME = r"^\s*(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])[T ](\d{2})(\d{2})(\d{2})(Z?)\s*$"
+_MONTH = r"^\s*((?:19|20)\d{2})-(0[1-9]|1[0-2])\s*$"
+_EVERYDAY = r"(?i)[ap]\.?m\.?\s*$|^\s*[mtwfs][a-z]{2,8}[.,]*\s|^\s*\d{8}[T ]\d{6}Z?\s*$|^\s*\d{4}-\d{2}\s*$"
+
 
 # Letters the double parser would read as a suffix, an infinity, a NaN or a hex digit.
 _NOT_DECIMAL = "dDfFiInNxXpP"
@@ -93,9 +101,11 @@ def timestamp(c: Column, as_of: dt.date) -> Column:
     """Mixed-format timestamp; offsets are applied, so use a UTC session time zone.
 
     Year first, month first (day first when the month cannot be one), month names and
-    ``yyyyMMdd``, each with an optional time and offset.  A date needs all three
-    parts: bare years, postal codes and clock times are not dates.
+    ``yyyyMMdd``, each with an optional time and offset, a weekday before it or a clock of
+    half days.  ``yyyy-MM`` is the first of its month; bare years, postal codes and clock
+    times are not dates.
     """
+    c = F.when(c.rlike(_EVERYDAY), _plain(c)).otherwise(c)
     numeric = _four_digit_year(c, rf"\s*\d{{1,2}}{_SEP}\d{{1,2}}{_SEP}", as_of)
     numeric = F.regexp_replace(
         numeric, rf"^\s*(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}){_TIME}", "$3-$2-$1$4")
@@ -121,6 +131,18 @@ def timestamp(c: Column, as_of: dt.date) -> Column:
     return canonical.try_cast("timestamp")
 
 
+def _plain(c: Column) -> Column:
+    """Everyday forms without weekday and half-day clock, and with all parts apart."""
+    day = F.regexp_replace(c, _WEEKDAY, "")
+    part = lambda k: F.regexp_extract(day, _HALF_DAY, k)
+    hour = part(2).cast("int") % 12 + F.when(F.lower(part(4)) == "p", 12).otherwise(0)
+    return (F.when(day.rlike(_HALF_DAY), F.concat(
+                F.regexp_replace(part(1), r"[ T,]+$", ""), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), part(3)))
+            .when(day.rlike(_COMPACT_TIME), F.regexp_replace(day, _COMPACT_TIME, "$1-$2-$3 $4:$5:$6$7"))
+            .when(day.rlike(_MONTH), F.regexp_replace(day, _MONTH, "$1-$2-01"))
+            .otherwise(day))
+
+
 def _month_number(c: Column) -> Column:
     name = F.lower(F.left(F.regexp_extract(c, _NAMED, 1), F.lit(3)))
     return F.floor((F.position(name, F.lit(_MONTHS)) + 3) / 4).cast("string")

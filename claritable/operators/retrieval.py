@@ -78,53 +78,64 @@ def value_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: found.get(c, 0) for c in columns}
 
 
-def context_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
-    """The columns that say most about a row: narrative text first, then by variety."""
+def context_columns(df: DataFrame, exclude: tuple[str, ...] = (), *, limit: int | None = None,
+                    variety: dict[str, int] | None = None) -> list[str]:
+    """The columns that say most about a row: narrative text first, then by variety.
+
+    ``variety`` gives distinct counts, from a profile for instance; without it they are counted.
+    """
     open_columns = [c for c in df.columns if c not in exclude and c != CONTEXT
                     and not names.contains_any(c, rules.PII_COLUMN_TOKENS)]
-    variety = value_counts(df, open_columns)
+    variety = value_counts(df, open_columns) if variety is None else variety
 
     def rank(name: str):
         signal = 3 * is_text(df, name) + 3 * names.contains_any(name, rules.NARRATIVE_TOKENS)
         return (-signal, -variety[name], df.columns.index(name))
 
-    return sorted((c for c in open_columns if variety[c]), key=rank)[:rules.CONTEXT_COLUMNS]
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once per row, however often it is read."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _sized(pairs: Column, fallback: Column, suffix: str) -> Column:
-    """The pairs of a row, or the fallback; short texts get a sentence, long ones are cut."""
-    def fit(context: Column) -> Column:
-        cut = F.regexp_replace(F.left(context, F.lit(rules.CONTEXT_MAX)), r"(?U)\s+$", "")
-        size = F.length(context)
-        return (F.when(size < rules.CONTEXT_MIN, F.concat(context, F.lit(suffix)))
-                .when(size > rules.CONTEXT_MAX, cut).otherwise(context))
-
-    filled = _let(pairs, lambda p: F.when(p == "", fallback).otherwise(p))
-    return _let(filled, fit)
+    return sorted((c for c in open_columns if variety.get(c)), key=rank)[:limit]
 
 
-def _pair(name: str, value: Column) -> Column:
-    return _let(value, lambda v: F.when(~text.is_missing_token(v), F.concat(F.lit(f"{name}="), v)))
+def _with_pairs(df: DataFrame, values: dict[str, Column], fallback: Column, suffix: str,
+                max_chars: int | None) -> DataFrame:
+    """Append ``rag_context``: ``name=value`` pairs of a row, or the fallback; short texts get a sentence.
 
-
-def context_expr(df: DataFrame, columns: list[str], row_id: Column) -> Column:
-    """``col=value`` pairs of a row; rows without any value are named by their id."""
-    if not columns:
+    Values, pairs and text are projections of their own: each is computed once and stays
+    in generated code however often the next one reads it.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(*own, *[v.alias(f"v:{i}") for i, v in enumerate(values.values())], fallback.alias("v:none"))
+    pairs = F.concat_ws("; ", *[
+        F.when(~text.is_missing_token(F.col(f"`v:{i}`")), F.concat(F.lit(f"{name}="), F.col(f"`v:{i}`")))
+        for i, name in enumerate(values)])
+    rows = rows.select(*own, "`v:none`", pairs.alias("v:pairs"))
+    filled = F.when(F.col("`v:pairs`") == "", F.col("`v:none`")).otherwise(F.col("`v:pairs`"))
+    rows = rows.select(*own, filled.alias("v:text"))
+    whole, size = F.col("`v:text`"), F.length(F.col("`v:text`"))
+    out = F.when(size < rules.CONTEXT_MIN, F.concat(whole, F.lit(suffix)))
+    if max_chars is not None:
+        out = out.when(size > max_chars, F.regexp_replace(F.left(whole, F.lit(max_chars)), r"(?U)\s+$", ""))
+    return rows.select(*own, out.otherwise(whole).alias(CONTEXT))
+
+
+def with_context(df: DataFrame, row_id: str, columns: list[str] | None = None, *, max_chars: int | None = None) -> DataFrame:
+    """Append ``rag_context``; rows without any value are named by their id.
+
+    Columns are chosen from the data unless given.  Nothing is cut unless ``max_chars`` says
+    so; :func:`chunked` deals long texts out to rows.
+    """
+    chosen = context_columns(df, (row_id,)) if columns is None else columns
+    if not chosen:
         before, after = rules.CONTEXT_FALLBACK.split("{row}")
-        return F.concat(F.lit(before), row_id.cast("string"), F.lit(after))
-    pairs = F.concat_ws("; ", *[_pair(c, text.strip(as_text(df, c))) for c in columns])
-    return _sized(pairs, F.concat(F.lit("row="), row_id.cast("string")), rules.CONTEXT_SUFFIX)
+        return df.withColumn(CONTEXT, F.concat(F.lit(before), F.col(row_id).cast("string"), F.lit(after)))
+    return _with_pairs(df, {c: text.strip(as_text(df, c)) for c in chosen},
+                       F.concat(F.lit("row="), F.col(row_id).cast("string")), rules.CONTEXT_SUFFIX, max_chars)
 
 
-def with_context(df: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
-    """Append ``rag_context``.  Columns are chosen from the data unless given."""
-    chosen = context_columns(df, (row_id,)) if columns is None else columns
-    return df.withColumn(CONTEXT, context_expr(df, chosen, F.col(row_id)))
+def chunked(df: DataFrame, column: str = CONTEXT, size: int = rules.CHUNK_CHARS) -> DataFrame:
+    """A row for each ``size`` characters of a text, numbered from 0 in ``chunk``; all of the text is kept."""
+    last = F.greatest(F.lit(1), F.ceil(F.length(column) / size)) - 1
+    rows = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return rows.withColumn(column, F.substr(F.col(column), F.col("chunk") * size + 1, F.lit(size)))
 
 
 # --- projection -------------------------------------------------------------
@@ -133,10 +144,11 @@ def _first(columns: list[str], tokens: Iterable[str], without: Iterable[str] = (
                  and not (without and names.contains_any(c, without))), None)
 
 
-def retrieval_projection(df: DataFrame, row_id: str, as_of: dt.date) -> DataFrame:
+def retrieval_projection(df: DataFrame, row_id: str, as_of: dt.date, *, max_columns: int | None = None,
+                         max_chars: int | None = None) -> DataFrame:
     """``record_id, event_date, domain_code, rag_context`` of every row, free of PII.
 
-    A single projection: rows without an id take ``row_<row_id>``, rows without a date
+    A projection without a shuffle: rows without an id take ``row_<row_id>``, rows without a date
     ``as_of``, rows without a code ``GENERAL``.
     """
     columns = [c for c in df.columns if c != row_id]
@@ -163,8 +175,11 @@ def retrieval_projection(df: DataFrame, row_id: str, as_of: dt.date) -> DataFram
         code = F.upper(F.coalesce(F.when(stripped != "", stripped), F.lit("general")))
 
     open_columns = [c for c in columns if c not in ("record_id", "event_date", "domain_code", CONTEXT)
-                    and not names.contains_any(c, rules.PII_COLUMN_TOKENS)][:rules.PROJECTION_COLUMNS]
-    pairs = F.concat_ws("; ", *[_pair(c, pii.retrieval_text(as_text(df, c))) for c in open_columns])
+                    and not names.contains_any(c, rules.PII_COLUMN_TOKENS)][:max_columns]
+    values = {c: pii.retrieval_text(as_text(df, c)) for c in open_columns}
     fallback = F.concat(F.lit("record_id="), record, F.lit(f"; {rules.PROJECTION_FALLBACK}"))
-    return df.select(record.alias("record_id"), event.alias("event_date"), code.alias("domain_code"),
-                     _sized(pairs, fallback, rules.PROJECTION_SUFFIX).alias(CONTEXT))
+    rows = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(open_columns)],
+                     record.alias("p:record"), event.alias("p:event"), code.alias("p:code"), fallback.alias("p:none"))
+    found = _with_pairs(rows, values, F.col("`p:none`"), rules.PROJECTION_SUFFIX, max_chars)
+    return found.select(F.col("`p:record`").alias("record_id"), F.col("`p:event`").alias("event_date"),
+                        F.col("`p:code`").alias("domain_code"), CONTEXT)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claritable import rules
 from claritable.operators import dedup, qc, readiness, retrieval
 from claritable.operators.cells import COLUMN, DATASET
 from claritable.options import CleanOptions
@@ -92,10 +93,12 @@ class Optimizer:
         candidates = retrieval.text_candidates(self.current.metrics)
         if not candidates.filter(retrieval.is_chunkable()).isEmpty():
             return
-        chosen = retrieval.context_columns(self.current.df, (self.row_id,))
+        # A summary beside the table's own columns, which keep all of the text.
+        chosen = retrieval.context_columns(self.current.df, (self.row_id,), limit=rules.SUMMARY_COLUMNS)
         action = (f"Added synthetic rag_context using columns: {', '.join(chosen)}." if chosen else
                   "Added synthetic rag_context to provide chunkable retrieval text.")
-        self._try(self._candidate(retrieval.with_context(self.current.df, self.row_id, chosen)), action)
+        self._try(self._candidate(retrieval.with_context(
+            self.current.df, self.row_id, chosen, max_chars=rules.CHUNK_CHARS)), action)
 
     def drop_low_signal(self) -> None:
         weak = [r[COLUMN] for r in retrieval.low_signal_columns(self.current.metrics).collect()]
@@ -116,8 +119,8 @@ class Optimizer:
                       f"Dropped {len(named)} PII-likely identifier columns for safer RAG output.")
 
     def project(self) -> None:
-        projected = retrieval.retrieval_projection(
-            self.current.df, self.row_id, self.plan.options.as_of)
+        projected = retrieval.chunked(retrieval.retrieval_projection(
+            self.current.df, self.row_id, self.plan.options.as_of))
         # The projection has its own ids; the row key stays out of it.
         self._try(self._candidate(projected),
                   "Constructed rag_context with PII-safe text for chunking.",

@@ -186,6 +186,22 @@ for _kind, (_column, _read, _write, _sql_read, _sql_write) in _TYPED.items():
           f"{M} SELECT row_id, coalesce({_sql_write(_n)}, {sql.collapse(_n)}) AS value FROM messy")(_safe)
 
 
+_FORMS = ("M/d/yyyy h:mm a", "yyyy-MM-dd hh:mm a", "MMM d, yyyy h:mm a", "EEE, dd MMM yyyy", "yyyyMMdd'T'HHmmss", "yyyy-MM",
+          "EEEE, MMMM d, yyyy")
+
+
+@query("coerce_date_forms", """SELECT o_orderkey AS row_id, strftime(CASE o_orderkey % 7
+ WHEN 3 THEN date_trunc('day', m) WHEN 6 THEN date_trunc('day', m) WHEN 5 THEN date_trunc('month', m) ELSE m END, '%Y-%m-%d %H:%M')
+ AS moment FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_minutes(o_orderkey % 1440) AS m FROM orders)""")
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    moment = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(mins=F.col("o_orderkey") % 1440)
+    written = F.array(*[F.date_format("m", form) for form in _FORMS])
+    rows = orders.select("o_orderkey", moment.alias("m")).select(
+        F.col("o_orderkey").alias("row_id"), F.get(written, F.col("o_orderkey") % len(_FORMS)).alias("text"))
+    return rows.select("row_id", F.date_format(coerce.timestamp(F.col("text"), AS_OF), "yyyy-MM-dd HH:mm").alias("moment"))
+
+
 @query("coerce_claim_dates", f"""{C} SELECT row_id, service_date, {sql.date_text('service_date')} AS service_day,
  count(*) AS copies FROM claims GROUP BY ALL""")
 def _(spark, sf):

@@ -82,8 +82,13 @@ _TYPED = ("visit_date",)
 
 def _sized(pairs: str, fallback: str, suffix: str) -> str:
     filled = f"CASE WHEN {pairs} = '' THEN {fallback} ELSE {pairs} END"
-    return (f"CASE WHEN length({filled}) < 40 THEN {filled} || {sql.quote(suffix)} "
-            rf"WHEN length({filled}) > 480 THEN regexp_replace(left({filled}, 480), '\s+$', '') ELSE {filled} END")
+    return f"CASE WHEN length({filled}) < 40 THEN {filled} || {sql.quote(suffix)} ELSE {filled} END"
+
+
+def _chunks(rows: str, keys: str) -> str:
+    """All text of ``rows``, 480 characters to a row."""
+    return (f"SELECT {keys}, chunk::INTEGER AS chunk, substr(rag_context, chunk * 480 + 1, 480) AS rag_context FROM ("
+            f"SELECT *, unnest(range(greatest(1, CAST(ceil(length(rag_context) / 480.0) AS INTEGER)))) AS chunk FROM ({rows}))")
 
 
 def _pairs(columns, value) -> str:
@@ -100,24 +105,30 @@ _VARIETY = " UNION ALL ".join(
 _LONG = " UNION ALL ".join(f"SELECT row_id, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM cleaned" for c in _CANDIDATES)
 
 
-@query("rag_context", f"""{_CLEANED}, chosen AS (SELECT c, row_number() OVER (ORDER BY s DESC, n DESC, pos) AS k FROM ({_VARIETY}) WHERE n > 0),
-cells AS (SELECT row_id, c, k, {sql.strip('v')} AS v FROM ({_LONG}) JOIN chosen USING (c) WHERE k <= 8),
+_CONTEXT = f"""{_CLEANED}, chosen AS (SELECT c, row_number() OVER (ORDER BY s DESC, n DESC, pos) AS k FROM ({_VARIETY}) WHERE n > 0),
+cells AS (SELECT row_id, c, k, {sql.strip('v')} AS v FROM ({_LONG}) JOIN chosen USING (c)),
 pairs AS (SELECT row_id, coalesce(string_agg(c || '=' || v, '; ' ORDER BY k) FILTER (lower(v) NOT IN ({sql.quoted(rules.MISSING_TOKENS)})), '') AS p
  FROM cells GROUP BY row_id)
-SELECT row_id, {_sized('p', "'row=' || row_id", rules.CONTEXT_SUFFIX)} AS rag_context FROM pairs""")
-def rag_context(spark, sf):
-    return retrieval.with_context(clean_messy(spark, sf), "row_id").select("row_id", "rag_context")
+"""
+_CONTEXT_ROWS = f"SELECT row_id, {_sized('p', chr(39) + 'row=' + chr(39) + ' || row_id', rules.CONTEXT_SUFFIX)} AS rag_context FROM pairs"
 
 
-_PROJECTED = [c for c in _KEPT if c not in _PII_NAMED][:rules.PROJECTION_COLUMNS]
+@query("rag_context", _CONTEXT + _chunks(_CONTEXT_ROWS, "row_id"))
+def rag_context(spark, sf):
+    return retrieval.chunked(retrieval.with_context(clean_messy(spark, sf), "row_id").select("row_id", "rag_context"))
 
 
-@query("rag_projection", f"""{_CLEANED}, p AS (SELECT *, {_pairs(_PROJECTED, lambda c: sql.collapse(sql.redact(sql.strip(c))))} AS pairs FROM cleaned)
-SELECT patient_id AS record_id, coalesce({sql.date_text('dob')}, '{AS_OF.isoformat()}') AS event_date,
+_PROJECTED = [c for c in _KEPT if c not in _PII_NAMED]
+_PROJECTION = f"""{_CLEANED}, p AS (SELECT *, {_pairs(_PROJECTED, lambda c: sql.collapse(sql.redact(sql.strip(c))))} AS pairs FROM cleaned)
+"""
+_PROJECTION_ROWS = f"""SELECT patient_id AS record_id, coalesce({sql.date_text('dob')}, '{AS_OF.isoformat()}') AS event_date,
  upper(coalesce(nullif({sql.strip('icd_code')}, ''), 'general')) AS domain_code,
- {_sized('pairs', "'record_id=' || patient_id || '; data normalized for AI retrieval'", rules.PROJECTION_SUFFIX)} AS rag_context FROM p""")
+ {_sized('pairs', f"'record_id=' || patient_id || '; {rules.PROJECTION_FALLBACK}'", rules.PROJECTION_SUFFIX)} AS rag_context FROM p"""
+
+
+@query("rag_projection", _PROJECTION + _chunks(_PROJECTION_ROWS, "record_id, event_date, domain_code"))
 def rag_projection(spark, sf):
-    return retrieval.retrieval_projection(clean_messy(spark, sf), "row_id", AS_OF)
+    return retrieval.chunked(retrieval.retrieval_projection(clean_messy(spark, sf), "row_id", AS_OF))
 
 
 _ORDER_TEXT = f"""WITH p AS (SELECT *, {_pairs(('order_id', 'status', 'priority'), lambda c: sql.collapse(sql.redact(sql.strip(c))))} AS pairs FROM (
