@@ -69,17 +69,17 @@ def preclean_decision(scored: DataFrame, privacy_mode: str = "none") -> DataFram
 
     # (condition, severity, reason, action); of each pair only the first that holds counts.
     ladders = (
-        ((score < 50, 2, _text("Assessment score is poor (", score, ")."), "assessment_poor"),
-         (score < 70, 1, _text("Assessment score is below preferred threshold (", score, ")."), "assessment_low")),
-        ((missing_share >= 0.35, 2, _text("High missingness affects ", missing, "/", width, " columns."), "missing_high"),
-         (missing_share >= 0.15, 1, _text("Elevated missingness detected in ", missing, " columns."), "missing_some")),
+        ((score < 50, 2, _text("Only ", score, " of 100 points for quality."), "assessment_poor"),
+         (score < 70, 1, _text(score, " of 100 points for quality; 70 are wanted."), "assessment_low")),
+        ((missing_share >= 0.35, 2, _text(missing, " of ", width, " columns are mostly empty."), "missing_high"),
+         (missing_share >= 0.15, 1, _text(missing, " columns have many empty cells."), "missing_some")),
         (((found > 0) & unsafe & (pii_share >= 0.3), 2,
-          _text("Potential PII appears in ", found, " columns without Safe Harbor mode."), "pii_open"),
-         (found > 0, 1, _text("Potential PII detected in ", found, " columns."), "pii_some")),
-        ((unsure >= 35, 2, _text("Schema uncertainty is high (", unsure, "%)."), "schema_high"),
-         (unsure >= 20, 1, _text("Schema uncertainty is moderate (", unsure, "%)."), "schema_some")),
-        ((ready < 55, 2, _text("RAG readiness score is low (", ready, ")."), "readiness_low"),
-         (ready < 70, 1, _text("RAG readiness score is below target (", ready, ")."), "readiness_some")),
+          _text(found, " columns seem to hold personal data, and masking is off."), "pii_open"),
+         (found > 0, 1, _text(found, " columns seem to hold personal data."), "pii_some")),
+        ((unsure >= 35, 2, _text("Type or meaning is open for ", unsure, "% of the columns."), "schema_high"),
+         (unsure >= 20, 1, _text(unsure, "% of the columns are not fully understood."), "schema_some")),
+        ((ready < 55, 2, _text("Only ", ready, " of 100 points for retrieval."), "readiness_low"),
+         (ready < 70, 1, _text(ready, " of 100 points for retrieval; 70 are wanted."), "readiness_some")),
     )
     levels, reasons, actions = [], [], []
     for (c1, s1, r1, a1), (c2, s2, r2, a2) in ladders:

@@ -1,7 +1,9 @@
 """Run ledger: an append-only event table and the history queries over it.
 
 A run appends one row per status change.  Its current state is the latest event, found
-with a partial aggregate, so history length never concentrates in one task.
+with an aggregate that each task begins on its own rows, so history length never
+concentrates in one task.  Events lie in folders by a hash of the dataset: the runs of one dataset are
+read from one of them.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ SCHEMA = (
     "decision string, readiness_score int, warnings array<string>, error string, "
     "outcomes array<struct<outcome_order:int,outcome_id:string,label:string,status:string,"
     "target:string,observed_value:string,unit:string,evidence:string,recommended_action:string>>")
+BUCKETS = 16
 FINAL = ("completed", "failed", "cancelled")
 
 
 class RunLedger:
-    """Parquet events partitioned by month."""
+    """Parquet events partitioned by dataset bucket."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -34,10 +37,10 @@ class RunLedger:
         full = events.select(*[
             (F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in fields])
-        dated = full.withColumn("event_month", F.date_format("event_time", "yyyy-MM"))
-        # Rebalancing writes one file per month, and splits a month that is too large for one.
-        dated.hint("rebalance", "event_month").write.mode("append").partitionBy(
-            "event_month").parquet(self.path)
+        placed = full.withColumn("dataset_bucket", bucket(F.col("dataset_id")))
+        # Rebalancing writes one file per folder, and splits a folder that is too large for one.
+        placed.hint("rebalance", "dataset_bucket").write.mode("append").partitionBy(
+            "dataset_bucket").parquet(self.path)
 
     def record(self, dataset_id: str, run_id: str, status: str, **fields) -> None:
         """Append one status event of one run."""
@@ -50,10 +53,19 @@ class RunLedger:
         self.append(row.withColumns({**stamps, **{k: F.lit(v) for k, v in fields.items()}}))
 
     def events(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA + ", event_month string").parquet(self.path)
+        return self.spark.read.schema(SCHEMA + ", dataset_bucket int").parquet(self.path)
 
-    def runs(self) -> DataFrame:
-        return current_runs(self.events())
+    def runs(self, dataset_id: str | None = None) -> DataFrame:
+        """Current state of all runs, or of one dataset's, whose events alone are read."""
+        events = self.events()
+        if dataset_id is not None:
+            events = events.filter((F.col("dataset_bucket") == bucket(F.lit(dataset_id)))
+                                   & (F.col("dataset_id") == dataset_id))
+        return current_runs(events)
+
+
+def bucket(dataset_id: Column) -> Column:
+    return F.pmod(F.xxhash64(dataset_id), F.lit(BUCKETS)).cast("int")
 
 
 def current_runs(events: DataFrame, run: str = "run_id", time: str = "event_time") -> DataFrame:
@@ -61,8 +73,9 @@ def current_runs(events: DataFrame, run: str = "run_id", time: str = "event_time
 
     A later event wins; fields it leaves NULL keep their earlier value.
     """
-    order = lambda c: F.when(F.col(c).isNotNull(), F.struct(time, "_final"))
-    fields = [c for c in events.columns if c not in (run, time, "event_month")]
+    # Events of one moment are told apart by their own value, so that no tie is left to chance.
+    order = lambda c: F.when(F.col(c).isNotNull(), F.struct(time, "_final", F.xxhash64(c)))
+    fields = [c for c in events.columns if c not in (run, time, "dataset_bucket")]
     ranked = events.withColumn("_final", F.col("status").isin(*FINAL).cast("int"))
     return ranked.groupBy(run).agg(
         F.min(time).alias("created_at"), F.max(time).alias("updated_at"),
@@ -134,7 +147,7 @@ def result_summary(runs: DataFrame) -> DataFrame:
     """Release view of each finished run."""
     return runs.select(
         "dataset_id", F.coalesce("decision", F.lit("warn")).alias("decision_status"),
-        F.coalesce("release_recommendation", F.lit("Review diagnostics before sharing."))
+        F.coalesce("release_recommendation", F.lit("Look at the outcomes before sharing."))
         .alias("release_recommendation"),
         F.coalesce("gate_status", F.lit("warn")).alias("quality_gate_status"),
         F.col("readiness_score").alias("rag_score"), F.col("score_delta").alias("rag_score_delta"))

@@ -28,6 +28,17 @@ def missing_percent(df: DataFrame, *, dataset: str | Column = "dataset",
     """Missing cells per column; missing tokens count in text columns."""
     columns = {c: c for c in df.columns if c not in exclude}
     texts = [c for c in columns if is_text(df, c)]
+    if isinstance(dataset, str):
+        # One table: a count for each column of the one scan, without a row for every cell.
+        gone = {c: F.col(f"`{c}`").isNull() for c in columns}
+        for c in texts:
+            gone[c] = gone[c] | text.is_missing_token(as_text(df, c))
+        totals = df.agg(F.count(F.lit(1)).alias("row_count"),
+                        *[F.count_if(flag).alias(f"m{i}") for i, flag in enumerate(gone.values())])
+        entries = [F.struct(F.lit(c).alias(COLUMN), F.col(f"m{i}").alias("missing")) for i, c in enumerate(gone)]
+        rows = totals.select(F.lit(dataset).alias(DATASET), "row_count", F.inline(F.array(*entries)))
+        return rows.select(DATASET, COLUMN, "row_count", "missing", percent(
+            F.col("missing"), F.col("row_count")).alias("missing_pct"))
     value = F.col(VALUE)
     missing = value.isNull() | (_in_columns(texts) & text.is_missing_token(value))
     counted = cells(df, columns, dataset=dataset, with_row=False).groupBy(*keys_of(dataset)).agg(
@@ -115,8 +126,8 @@ def row_changes(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
         left.join(right, key, "full_outer")
         .select(
             key,
-            F.when(F.col("a").isNull(), F.lit("Row removed during cleaning."))
-            .when(F.col("b").isNull(), F.lit("Row exists only in cleaned output.")).alias("note"),
+            F.when(F.col("a").isNull(), F.lit("Only in the raw table."))
+            .when(F.col("b").isNull(), F.lit("Only in the cleaned table.")).alias("note"),
             F.when(both, changed).otherwise(F.slice(changed, 1, 0)).alias("changes"))
         .withColumn("change_count", F.size("changes"))
     )
@@ -167,11 +178,10 @@ def normalization_summary(plan_columns: DataFrame, privacy_mode: str) -> DataFra
     harbor = F.lit(privacy_mode == "safe_harbor")
     notes = F.array(
         F.when(F.col("typed_count") > 0, F.concat(
-            F.lit("Type coercion/normalization applied to "), F.col("typed_count").cast("string"),
-            F.lit(" columns."))),
+            F.col("typed_count").cast("string"), F.lit(" columns have a type other than text."))),
         F.when(harbor & (F.col("privacy_count") > 0),
-               F.lit("Safe Harbor privacy transformations applied."))
-        .when(harbor, F.lit("Safe Harbor mode enabled; no explicit column-level privacy transforms reported.")),
+               F.lit("Columns were masked by the Safe Harbor rules."))
+        .when(harbor, F.lit("Safe Harbor is on, but no column fell under its rules.")),
     )
     return summary.withColumns({"privacy_mode": F.lit(privacy_mode), "notes": F.array_compact(notes)})
 
@@ -188,7 +198,7 @@ def change_summary(plan_columns: DataFrame, rows: DataFrame, streaming: bool = F
         F.sum("invalid").alias("invalid_total"),
     )
     out = counted.join(rows.select(DATASET, "rows_removed"), DATASET, "left")
-    note = F.lit(rules.STREAM_DIFF_NOTE if streaming else "Sampled row-level examples shown below.")
+    note = F.lit(rules.STREAM_DIFF_NOTE if streaming else "Rows were compared one by one.")
     return out.withColumn("note", note)
 
 

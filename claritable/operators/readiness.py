@@ -129,9 +129,9 @@ def readiness_score(checks: DataFrame) -> DataFrame:
         F.count_if(status == "warn").alias("warning_checks"),
     )
     summary = F.concat(
-        F.col("failed_checks").cast("string"), F.lit(" failed checks, "),
+        F.col("failed_checks").cast("string"), F.lit(" checks failed and "),
         F.col("warning_checks").cast("string"),
-        F.lit(" warning checks. Address failed checks first to improve retrieval quality."))
+        F.lit(" gave a warning; failed ones cost most points."))
     return (
         scored.withColumn("readiness_score", whole_score(F.col("_thousandths") / 10))
         .withColumn("readiness_band", band(F.col("readiness_score"), rules.READINESS_BANDS, "not_ready"))
@@ -170,9 +170,9 @@ def priority_actions(compared: DataFrame) -> DataFrame:
         F.when(F.col("priority") == "high", 0).otherwise(1),
         F.when(F.col("status_delta") == "regressed", 0).otherwise(1),
         status_rank(F.col("status_after")), F.coalesce("metric_after", F.lit(1.0)), "check_order")
-    reason = (F.when(F.col("status_delta") == "regressed", "Regressed after cleaning")
-              .when(F.col("status_after") == "fail", "Still fail after cleaning")
-              .otherwise("Still warn after cleaning"))
+    reason = (F.when(F.col("status_delta") == "regressed", "Worse than before")
+              .when(F.col("status_after") == "fail", "Fails still")
+              .otherwise("Warns still"))
     return (
         compared.filter(F.col("priority").isin("high", "medium"))
         .select(DATASET, F.row_number().over(order).alias("action_rank"), CHECK, "label", "priority",
@@ -194,9 +194,9 @@ def comparison_summary(compared: DataFrame, before: DataFrame, after: DataFrame)
     side = lambda df, name: df.select(DATASET, F.col("readiness_score").alias(f"score_{name}"),
                                       F.col("readiness_band").alias(f"band_{name}"))
     text = F.concat(F.col("improved").cast("string"), F.lit("/"), F.col("checks").cast("string"),
-                    F.lit(" checks improved, "), F.col("regressed").cast("string"), F.lit(" regressed, "),
-                    F.col("unchanged").cast("string"), F.lit(" unchanged. Address "),
-                    F.col("high_priority").cast("string"), F.lit(" high-priority actions first."))
+                    F.lit(" checks got better, "), F.col("regressed").cast("string"), F.lit(" worse, "),
+                    F.col("unchanged").cast("string"), F.lit(" stayed the same; "),
+                    F.col("high_priority").cast("string"), F.lit(" actions are urgent."))
     return (
         counts.join(side(before, "before"), DATASET, "left").join(side(after, "after"), DATASET, "left")
         .withColumns({"score_delta": F.col("score_after") - F.col("score_before"), "summary": text})

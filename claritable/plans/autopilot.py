@@ -95,8 +95,8 @@ class Optimizer:
             return
         # A summary beside the table's own columns, which keep all of the text.
         chosen = retrieval.context_columns(self.current.df, (self.row_id,), limit=rules.SUMMARY_COLUMNS)
-        action = (f"Added synthetic rag_context using columns: {', '.join(chosen)}." if chosen else
-                  "Added synthetic rag_context to provide chunkable retrieval text.")
+        action = (f"Wrote rag_context from {', '.join(chosen)}." if chosen else
+                  "Wrote rag_context from row numbers.")
         self._try(self._candidate(retrieval.with_context(
             self.current.df, self.row_id, chosen, max_chars=rules.CHUNK_CHARS)), action)
 
@@ -104,27 +104,27 @@ class Optimizer:
         weak = [r[COLUMN] for r in retrieval.low_signal_columns(self.current.metrics).collect()]
         if weak:
             self._try(self._without(weak),
-                      f"Dropped {len(weak)} low-signal text columns to improve text quality ratios.")
+                      f"Left out {len(weak)} text columns that say little.")
 
     def drop_high_missing(self) -> None:
         sparse = [r[COLUMN] for r in retrieval.high_missing_columns(self.current.metrics).collect()]
         if sparse:
             self._try(self._without(sparse),
-                      f"Dropped {len(sparse)} extremely high-missing columns to improve missingness health.")
+                      f"Left out {len(sparse)} columns that are nearly empty.")
 
     def drop_pii_named(self) -> None:
         named = retrieval.pii_named_columns(c for c in self.current.df.columns if c != self.row_id)
         if named:
             self._try(self._without(named),
-                      f"Dropped {len(named)} PII-likely identifier columns for safer RAG output.")
+                      f"Left out {len(named)} columns named after personal data.")
 
     def project(self) -> None:
         projected = retrieval.chunked(retrieval.retrieval_projection(
             self.current.df, self.row_id, self.plan.options.as_of))
         # The projection has its own ids; the row key stays out of it.
         self._try(self._candidate(projected),
-                  "Constructed rag_context with PII-safe text for chunking.",
-                  "Applied RAG-optimized projection fallback to maximize readiness score.")
+                  "Wrote rag_context without personal data.",
+                  "Kept only record, date, code and text of each row.")
 
     def run(self) -> Optimization:
         self.add_context()

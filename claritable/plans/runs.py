@@ -66,21 +66,25 @@ def invalid_totals(plan_columns: DataFrame) -> DataFrame:
 
 def clean_run(df: DataFrame, *, dataset: str = "dataset", row_key: str | None = None,
               options: CleanOptions, hints=None, before: DataFrame | None = None,
-              validate_stage: str = "pre_privacy") -> CleanRun:
+              exclude: tuple[str, ...] = (), validate_stage: str = "pre_privacy") -> CleanRun:
     """Fit, clean, write once, then measure the written rows.
 
+    ``exclude`` names columns that are no data, such as a row number; they are left out,
+    while ``row_key`` is kept and breaks ties between repeated rows.
+
     ``before`` is the profile's readiness score.  ``validate_stage="post_privacy"``
     validates the masked output instead of the values it was made from.
     """
     started = time.monotonic()
     spark = df.sparkSession
-    exclude = (row_key,) if row_key else ()
+    keys = (row_key,) if row_key else ()
+    exclude = tuple(dict.fromkeys((*keys, *exclude)))
     plan = fit(df, options, hints=hints, exclude=exclude, dataset=dataset)
-    rows = plan.project(df, exclude)
+    rows = plan.project(df, keys)
     if plan.options.remove_duplicates:
         rows = dedup.drop_duplicates(rows, keep_first=row_key)
     rows = materialize(rows, "projected")
-    table = plan.privatize(rows, exclude)
+    table = plan.privatize(rows, keys)
     private = plan.options.deidentify or plan.options.privacy == "safe_harbor"
 
     plan_columns = plan.conversion(spark)

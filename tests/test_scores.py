@@ -60,7 +60,7 @@ def test_comparison_marks_changes_and_orders_actions(spark):
     assert rows["schema_clarity"]["status_delta"] == "unchanged"
     assert rows["pii_safety"]["metric_delta"] == -0.24
     first = readiness.priority_actions(compared).orderBy("action_rank").first()
-    assert first["check_id"] == "pii_safety" and first["reason"] == "Regressed after cleaning"
+    assert first["check_id"] == "pii_safety" and first["reason"] == "Worse than before"
 
 
 def facts(spark, **changes):

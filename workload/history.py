@@ -218,6 +218,14 @@ def _(spark, sf):
     return ledger.list_runs(order_runs(spark, sf), limit=20).select(DATASET, "run_id", "status", "place")
 
 
+@query("runs_of_dataset", f"""{STATE} SELECT dataset_id, run_id, status FROM runs WHERE dataset_id = '7'
+ORDER BY created_at DESC, run_id DESC LIMIT 20""")
+def _(spark, sf):
+    book = ledger.RunLedger(spark, new_path(spark, "ledger"))
+    book.append(order_events(spark, sf))
+    return ledger.list_runs(book.runs("7"), "7", limit=20).select(DATASET, "run_id", "status")
+
+
 @query("runs_latest", f"""{STATE} SELECT dataset_id, run_id, status, duration_ms FROM (SELECT *, row_number() OVER (
  PARTITION BY dataset_id ORDER BY created_at DESC, run_id DESC) AS k FROM runs) WHERE k = 1""")
 def runs_latest(spark, sf):

@@ -337,19 +337,19 @@ def _decision() -> str:
     a = rules.PRECLEAN_ACTIONS
     unsure = "round_even(unknown_schema::DOUBLE / column_count * 100, 2)"
     ladders = (
-        (("assessment_score < 50", 2, "'Assessment score is poor (' || assessment_score || ').'", "assessment_poor"),
-         ("assessment_score < 70", 1, "'Assessment score is below preferred threshold (' || assessment_score || ').'", "assessment_low")),
+        (("assessment_score < 50", 2, "'Only ' || assessment_score || ' of 100 points for quality.'", "assessment_poor"),
+         ("assessment_score < 70", 1, "assessment_score || ' of 100 points for quality; 70 are wanted.'", "assessment_low")),
         (("high_missing::DOUBLE / column_count >= 0.35", 2,
-          "'High missingness affects ' || high_missing || '/' || column_count || ' columns.'", "missing_high"),
+          "high_missing || ' of ' || column_count || ' columns are mostly empty.'", "missing_high"),
          ("high_missing::DOUBLE / column_count >= 0.15", 1,
-          "'Elevated missingness detected in ' || high_missing || ' columns.'", "missing_some")),
+          "high_missing || ' columns have many empty cells.'", "missing_some")),
         (("pii > 0 AND pii::DOUBLE / column_count >= 0.3", 2,
-          "'Potential PII appears in ' || pii || ' columns without Safe Harbor mode.'", "pii_open"),
-         ("pii > 0", 1, "'Potential PII detected in ' || pii || ' columns.'", "pii_some")),
-        ((f"{unsure} >= 35", 2, f"'Schema uncertainty is high (' || {unsure} || '%).'", "schema_high"),
-         (f"{unsure} >= 20", 1, f"'Schema uncertainty is moderate (' || {unsure} || '%).'", "schema_some")),
-        (("readiness_score < 55", 2, "'RAG readiness score is low (' || readiness_score || ').'", "readiness_low"),
-         ("readiness_score < 70", 1, "'RAG readiness score is below target (' || readiness_score || ').'", "readiness_some")),
+          "pii || ' columns seem to hold personal data, and masking is off.'", "pii_open"),
+         ("pii > 0", 1, "pii || ' columns seem to hold personal data.'", "pii_some")),
+        ((f"{unsure} >= 35", 2, f"'Type or meaning is open for ' || {unsure} || '% of the columns.'", "schema_high"),
+         (f"{unsure} >= 20", 1, f"{unsure} || '% of the columns are not fully understood.'", "schema_some")),
+        (("readiness_score < 55", 2, "'Only ' || readiness_score || ' of 100 points for retrieval.'", "readiness_low"),
+         ("readiness_score < 70", 1, "readiness_score || ' of 100 points for retrieval; 70 are wanted.'", "readiness_some")),
     )
     levels = ", ".join(f"CASE WHEN {x[0]} THEN {x[1]} WHEN {y[0]} THEN {y[1]} ELSE 0 END" for x, y in ladders)
     reasons = ", ".join(f"CASE WHEN {x[0]} THEN {x[2]} WHEN {y[0]} THEN {y[2]} END" for x, y in ladders)
