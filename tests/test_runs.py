@@ -1,12 +1,13 @@
 """Whole runs, autopilot, streaming, sources and the ledger."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from claritable import CleanOptions, fit
-from claritable.operators import ledger, qc
+from claritable.operators import ledger, qc, retrieval, validate
 from claritable.plans.autopilot import autopilot, autopilot_options
 from claritable.plans.runs import clean_run, precheck
 from claritable.sources import delimiters, scratch, tables
@@ -146,6 +147,40 @@ def test_ledger_keeps_the_latest_state(spark, tmp_path):
     assert [r["run_id"] for r in ledger.list_runs(book.runs(), "d1", 1).collect()] == ["r2"]
 
 
+def test_columns_named_after_personal_data():
+    names = ["row_id", "patient_name", "email", "phone", "zip", "paid_amount", "notes", "home_city"]
+    assert retrieval.pii_named_columns(names) == ["patient_name", "email", "phone", "zip", "home_city"]
+
+
+def test_runs_of_one_dataset_read_one_folder(spark, tmp_path):
+    book = ledger.RunLedger(spark, str(tmp_path / "runs"))
+    for k in range(6):
+        book.record(f"d{k}", f"r{k}", "running")
+    plan = book.runs("d3")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(dataset_bucket" in plan
+    assert [r["run_id"] for r in book.runs("d3").collect()] == ["r3"]
+
+
+def test_future_limits_do_not_follow_the_drivers_time_zone(spark, monkeypatch):
+    df = spark.createDataFrame([("2024-01-01T02:00:00Z", "2024-01-02T01:00:00Z")], "dob string, visit_date string")
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        found = {r["issue_type"]: r["count"] for r in validate.rule_counts(df, {}, dt.date(2024, 1, 1)).collect()}
+        assert found["dob_future"] == 1 and found["date_future"] == 1
+    monkeypatch.undo()
+    time.tzset()
+
+
+def test_retrieval_text_is_kept_whole(spark):
+    df = spark.createDataFrame([(1, "word " * 400), (2, None)], "row_id bigint, note string")
+    rows = retrieval.chunked(retrieval.with_context(df, "row_id", ["note"])).orderBy("row_id", "chunk").collect()
+    assert "".join(r["rag_context"] for r in rows if r["row_id"] == 1) == "note=" + ("word " * 400).strip()
+    assert [r["rag_context"][:5] for r in rows if r["row_id"] == 2] == ["row=2"]
+    plan = retrieval.with_context(df, "row_id", ["note"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 def test_scratch_follows_the_cluster_setting(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     path = scratch.new_path(spark, "x")
