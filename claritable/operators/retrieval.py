@@ -42,22 +42,22 @@ def _first_share(rows: DataFrame, width: Column, share: float) -> DataFrame:
     return rows.withColumn("drop_rank", F.row_number().over(order)).filter(F.col("drop_rank") <= limit)
 
 
-def low_signal_columns(metrics: DataFrame) -> DataFrame:
-    """Text columns that are mostly blank or very short, at most a fifth of the table."""
+def low_signal_columns(metrics: DataFrame, share: float = 0.2) -> DataFrame:
+    """Text columns that are mostly blank or very short, at most ``share`` of the table's columns."""
     width = metrics.groupBy(DATASET).agg(F.count(F.lit(1)).alias("width"))
     weak = text_candidates(metrics).filter(
         (F.col(COLUMN) != CONTEXT) & ~names.any_token(F.col(COLUMN), rules.PROTECTED_NAME_TOKENS)
         & ((F.col("non_empty_ratio") < 0.35) | (F.col("avg_len") < 8)))
-    return _first_share(weak.join(width, DATASET), F.col("width"), 0.2).drop("width")
+    return _first_share(weak.join(width, DATASET), F.col("width"), share).drop("width")
 
 
-def high_missing_columns(metrics: DataFrame) -> DataFrame:
-    """Columns at least 92 % missing, at most 15 % of the table."""
+def high_missing_columns(metrics: DataFrame, share: float = 0.15) -> DataFrame:
+    """Columns at least 92 % missing, at most ``share`` of the table's columns."""
     width = metrics.groupBy(DATASET).agg(F.count(F.lit(1)).alias("width"))
     sparse = metrics.filter(
         (F.col("missing_pct") >= 92) & ~names.any_token(F.col(COLUMN), rules.PROTECTED_NAME_TOKENS)
     ).select(DATASET, "position", COLUMN, "missing_pct")
-    return _first_share(sparse.join(width, DATASET), F.col("width"), 0.15).drop("width")
+    return _first_share(sparse.join(width, DATASET), F.col("width"), share).drop("width")
 
 
 def pii_named_columns(columns: Iterable[str]) -> list[str]:

@@ -56,3 +56,14 @@ def test_entry_runs(spark):
     import __spark_entry__ as driver
     assert driver.entry(spark).count() == 4
     assert driver.queries().keys() >= driver.oracle_sql().keys()
+
+
+def test_sketches_stay_near_the_exact_counts(spark):
+    from claritable.operators import profile
+    df = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    near = {r["column_name"]: r for r in profile.approximate_profile(df).collect()}
+    for name in df.columns:
+        exact = df.select(name).distinct().count()
+        # Three standard errors of the sketch, which has one of 5 %.
+        assert abs(near[name]["distinct_count"] - exact) <= 0.15 * exact
+        assert near[name]["row_count"] == 15000 and near[name]["missing_pct"] == 0
