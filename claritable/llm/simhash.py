@@ -181,23 +181,29 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Data
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, most: int = MOST,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row of ``docs`` (and ``mark``, a hash of its text)."""
+    """``doc_id, fingerprint, component_id`` for each row of ``docs`` (and ``mark``, a hash of its text, and ``root``,
+    a fingerprint that names the group whether its rows have ids or not)."""
     rows = fingerprints(docs, words, seed, id_column, text_column)
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(near_edges(nodes.select("fp"), radius, most))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                          **options) -> DataFrame:
     """The rows of ``docs`` of which one stays for each group, the one with the smallest id, with all columns."""
     found = near_duplicates(docs, id_column=id_column, text_column=text_column, **options)
-    stay = found.groupBy("component_id").agg(F.min(F.struct(
+    return keep_first(docs, found, id_column, text_column)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The row with the smallest id of each group; ``found`` has ``doc_id, mark, root`` for each row of ``docs``."""
+    stay = found.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("best"))
     stay = stay.select(_key(F.col("best.doc_id"), F.col("best.mark")).alias("_key"))
     marked = nested(docs, _key=_key(F.col(id_column), F.xxhash64(text_column)))
@@ -213,4 +219,4 @@ def _key(doc_id: Column, mark: Column) -> Column:
 
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("mark")
+    return near_duplicates(documents(spark, sf_dir)).drop("mark", "root")

@@ -185,6 +185,14 @@ def test_simhash(spark):
     assert {r["doc_id"] for r in stay.collect()} == {groups[p] for _, p in prints}
 
 
+def test_near_groups_without_an_id_of_their_own_stay(spark):
+    texts = [(None, prose(1, 300)), (None, prose(2, 300)), (None, None), (5, prose(3, 300)), (5, prose(4, 300)),
+             (None, prose(1, 300))]
+    rows = [(i, t, "en", "s", 0, k, "m", None, "d") for k, (i, t) in enumerate(texts)]
+    stay = simhash.drop_near_duplicates(table(spark, rows))
+    assert Counter((r["doc_id"], r["text"]) for r in stay.collect()) == Counter(set(texts))
+
+
 def test_masks_miss_no_pair():
     from itertools import combinations
     for positions, radius in ((list(range(64)), 3), (list(range(5, 40, 2)), 3), (list(range(12)), 2)):
