@@ -6,7 +6,8 @@ document (smallest id) that has it. A document of which too little is left is re
 the host, so it behaves alike on any amount of data.
 
 Counts and verdicts need one shuffle of (host, line hash) with counts combined before it, and one join of the lines
-with the few that are above the limit, whose hot keys the skew handling of the join splits. Texts are not shuffled.
+with the few that are above the limit, whose hot keys the skew handling of the join splits. Texts are not shuffled for
+this; ``drop_poor`` joins the verdicts and the removed lines to the texts by row key.
 
 Cases: a null or blank text has no words and fails; a null host is a host of its own; a document with a null id is
 never a host's first one; each row is a document, repeated rows too; texts are taken whole; extra columns are ignored.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claritable.llm.common import SPACE_RUN, WORD, documents, nested, query, same, settle, trimmed, unnested, words_of
+from claritable.llm.common import SPACE_RUN, WORD, documents, nested, query, same, settle, trimmed, words_of
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -31,6 +32,10 @@ DEPLETED_SHARE = 5
 SYMBOLS = "[#*$%&|<>]"
 
 
+def normal_line(line: Column) -> Column:
+    return F.lower(F.regexp_replace(trimmed(line), SPACE_RUN, " "))
+
+
 def _with_repeats(rows: DataFrame) -> DataFrame:
     """Add ``n_repeat_words``, the words inside windows (given as hashes in order) that occur twice or more.
 
@@ -62,8 +67,7 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         )).otherwise(F.array().cast("array<bigint>")).alias("windows"))
     rows = rows.select(
         "*", (F.size(F.array_distinct("windows")) < F.size("windows")).alias("repeats"),
-        F.array_distinct(F.transform("full", lambda x: F.lower(
-            F.regexp_replace(trimmed(x), SPACE_RUN, " ")))).alias("normal"))
+        F.array_distinct(F.transform("full", normal_line)).alias("normal"))
     return _with_repeats(rows).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "host", "mark", F.col("n_words").cast("long"),
         F.length(F.regexp_replace("text", SPACE_RUN, "")).cast("long").alias("word_chars"),
@@ -85,19 +89,21 @@ def line_frequency(lines: DataFrame, hosts: DataFrame, min_docs: int = MIN_DOCS,
 def assess(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
            min_docs: int = MIN_DOCS, host_share: int = HOST_SHARE, depleted_share: int = DEPLETED_SHARE,
            id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """A row for each row of ``docs``: the counts, ``removed_words`` in lines above the limit, and the verdicts."""
+    """A row for each row of ``docs``: the counts, ``removed_words`` in lines above the limit, hashes of
+    these lines (null if none), and the verdicts."""
     rows = settle(features(docs, id_column, text_column, host_column))
     lines = rows.select("row", "doc_id", "host", F.explode("lines").alias("l")).select(
         "row", "doc_id", "host", "l.line", "l.words")
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
     above = settle(line_frequency(lines, hosts, min_docs, host_share))
     removed = (lines.join(above, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-               .groupBy("row").agg(F.sum("words").alias("removed_words")))
+               .groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed_lines")))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     removed_words = F.coalesce(F.col("removed_words"), F.lit(0).cast("long"))
     judged = rows.join(removed, "row", "left").select(
         "doc_id", "host", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        removed_words.alias("removed_words"), (total - removed_words).alias("left_words"), total.alias("line_words"))
+        removed_words.alias("removed_words"), (total - removed_words).alias("left_words"), total.alias("line_words"),
+        "removed_lines")
     failed = (F.col("n_words") < min_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     depleted = (F.col("removed_words") > 0) & (
@@ -109,17 +115,24 @@ def assess(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int
 
 def drop_poor(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
               **rules) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that the rules keep, with all their columns and the lines above the limit removed.
 
-    Rows of the same id, host and text get the same verdict, and are dropped or kept together.
+    Rows of the same id, host and text get the same verdict and text, and are dropped or kept together. Lines without
+    a word stay, and so do all other columns, even if they describe the whole text.
     """
     options = {"id_column": id_column, "text_column": text_column, "host_column": host_column, **rules}
-    poor = assess(docs, **options).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("mark").alias("_mark")).distinct()
     keys = ["_id", "_host", "_mark"]
-    marked = nested(docs, _id=F.col(id_column), _mark=F.xxhash64(text_column),
+    found = assess(docs, **options).where(~F.col("kept") | F.col("removed_lines").isNotNull()).groupBy(
+        F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("mark").alias("_mark")).agg(
+        F.first("kept").alias("_kept"), F.first("removed_lines").alias("_gone"))
+    marked = nested(docs, _id=F.col(id_column), _mark=F.xxhash64(text_column), _text=F.col(text_column),
                     _host=F.coalesce(F.col(host_column), F.lit("")))
-    return unnested(marked.alias("a").join(poor.alias("b"), same(*keys)("a", "b"), "left_anti"), docs)
+    good = marked.alias("a").join(found.alias("b"), same(*keys)("a", "b"), "left").where("_kept is null or _kept")
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(
+        F.split("_text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normal_line(x)))), "\n"))
+    columns = [text.alias(name) if name.lower() == text_column.lower() else F.col("doc")[name].alias(name)
+               for name in docs.columns]
+    return good.select(*columns)
 
 
 SQL = rf"""

@@ -143,6 +143,20 @@ def test_quality(spark):
     assert len(dropped) == 29 or len(dropped) == 30
 
 
+def test_lines_above_the_limit_are_removed(spark):
+    notice = "All rights reserved by the house"
+    rows = [(None if k == 7 else k, "\n".join((f"  {notice.upper()} ", prose(k, 30), "", notice, prose(50 + k, 9))), "en",
+             "src0", 1, k, "m", None, "d") for k in range(1, 31)]
+    other = [(40, notice + "\n" + prose(40, 30), "en", "src1", 1, 0, "m", None, "d")]
+    got = quality.drop_poor(table(spark, rows + other))
+    want = Counter()
+    for i, text, *_ in rows + other:
+        bare = "\n".join(x for x in text.split("\n") if x.strip().lower() != notice.lower())
+        want[i, text if i in (1, 40) else bare] += 1
+    assert by_row(got, "doc_id", "text") == want
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().toString())
+
+
 def plain_print(text):
     w = (text or "").encode().lower().split()
     if not w:
