@@ -37,13 +37,13 @@ _SMALL = 16
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Unsigned fingerprint of a whole text."""
+def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles of a whole text in their order; none if it has no word."""
     from xxhash import xxh64_intdigest
 
     parts = (text or "").encode().lower().split()  # of bytes: A-Z only, and the six white space characters
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     if len(parts) <= words:
@@ -51,7 +51,14 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     else:
         spans = zip([0, *(gaps[:len(parts) - words] + 1).tolist()], [*gaps[words - 1:].tolist(), len(joined)],
                     strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in spans], ">u8")
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Unsigned fingerprint of a whole text."""
+    hashes = shingles(text, words, seed).astype(">u8")
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         part = hashes[at:at + _BLOCK]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from claritable.llm import exact_dedup, line_dedup, quality, simhash
+from claritable.llm import exact_dedup, line_dedup, quality, simhash, similarity
 from claritable.llm.components import components
 from tests.llm.helpers import SCHEMA, awkward, empty, prose, table
 
@@ -207,6 +207,39 @@ def test_near_groups_without_an_id_of_their_own_stay(spark):
     assert Counter((r["doc_id"], r["text"]) for r in stay.collect()) == Counter(set(texts))
 
 
+def plain_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_similar_texts_are_linked_from_four_fifths_on(spark):
+    r = np.random.default_rng(8)
+    texts = []
+    for k in range(40):  # copies with 1 to 12 changed words of 250: similarities around 0.8
+        base = prose(k, 250).split()
+        texts.append(" ".join(base))
+        for n in range(1, 13):
+            copy = list(base)
+            for at in r.choice(250, n, replace=False):
+                copy[at] = f"w{k}x{n}y{at}"
+            texts.append(" ".join(copy))
+    texts += [None, "", " \n", "one two", "One  two", "one two three"] + [prose(99, 500) + f" end {k}" for k in range(60)]
+    rows = [(k, t, "en", "s", 0, k, "m", None, "d") for k, t in enumerate(texts)]
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared * 5 >= 4 * (len(sets[i]) + len(sets[j]) - shared) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    stay = similarity.drop_similar(table(spark, rows))
+    assert stay.columns == table(spark, rows).columns
+    assert sorted(x["doc_id"] for x in stay.collect()) == sorted(set(root))
+    assert len(set(root)) < simhash.drop_near_duplicates(table(spark, rows)).count() < len(texts)
+    assert similarity.drop_similar(empty(spark)).count() == 0
+
+
 def test_masks_miss_no_pair():
     from itertools import combinations
     for positions, radius in ((list(range(64)), 3), (list(range(5, 40, 2)), 3), (list(range(12)), 2)):
