@@ -1,7 +1,7 @@
 r"""Secret scans: patterns, and a test of token efficiency.
 
-Base detectors find assignments, access keys and hex strings. Then every run of key characters that is long enough, mixes
-letters and digits and is no known digest or identifier is encoded with a tiktoken vocabulary. Text that people write
+Base detectors find assignments, access keys and hex strings. Then every run of key characters that is long enough, has a
+letter and is no known digest or UUID is encoded with a tiktoken vocabulary; of names, only the long parts. Text that people write
 takes few tokens for its characters; a random string takes many. Runs with fewer characters for a token than the
 limit are added as kind ``random``, unless they lie within a base span.
 
@@ -27,6 +27,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a run, and the characters for a token below which it counts as random.
 LEAST = 20
 RATIO = 2.2
+#: Characters from which a part of a name is tested by itself.
+LONG_PART = 12
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.I | re.A)
@@ -70,19 +72,24 @@ def _encoding(path: str):
 
 
 def known(run: str) -> bool:
-    """Digests of usual lengths, UUIDs, names of three or more plain parts, and runs of one kind of character."""
-    parts = re.split("[-_/]", run)
-    if len(parts) > 2 and all(_NAME_PART.fullmatch(x) for x in parts):
-        return True
+    """Digests of usual lengths, UUIDs, and runs without a letter."""
     if _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run):
         return True
-    return not (any(x.isdigit() for x in run) and any(x.isalpha() for x in run))
+    return not any(x.isalpha() for x in run)
 
 
 def characters_per_token(run: str, path: str) -> float:
     return len(run) / len(_encoding(path).encode_ordinary(run))
 
 
+def efficient(run: str, path: str, ratio: float) -> bool:
+    """Whether a run takes few tokens; in a name of three or more plain parts, each long part by itself."""
+    parts = re.split("[-_/]", run)
+    if len(parts) > 2 and all(_NAME_PART.fullmatch(x) for x in parts):
+        return all(characters_per_token(x, path) >= ratio for x in parts if len(x) >= LONG_PART)
+    return characters_per_token(run, path) >= ratio
+
+
 def finder(path: str, ratio: float = RATIO):
     def find(text: str) -> tuple[list[Span], list[Span]]:
         base = detect(text)
@@ -90,7 +97,7 @@ def finder(path: str, ratio: float = RATIO):
         for m in _RUN.finditer(text):
             run = m[0].strip("=-_/+")
             a = m.start() + m[0].index(run) if run else 0
-            if len(run) >= LEAST and not known(run) and characters_per_token(run, path) < ratio:
+            if len(run) >= LEAST and not known(run) and not efficient(run, path, ratio):
                 b = a + len(run)
                 if not any(x <= a and b <= y for x, _, y in base):
                     more.append((a, 3, b))

@@ -135,6 +135,21 @@ def test_random_strings_are_secrets_and_known_ones_are_not():
         assert find(text)[1] == []
 
 
+def test_random_letters_are_secrets_and_long_words_are_not():
+    find = secrets.finder(vocabulary_path(secrets.VOCABULARY))
+    r = random.Random(13)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+        caught = {"": 0, "prefix_env_": 0}
+        for _ in range(300):
+            for prefix in caught:
+                key = prefix + "".join(r.choice(letters) for _ in range(32))
+                caught[prefix] += find(f"the value {key}, as given")[1] == [(10, 3, 10 + len(key))]
+        assert min(caught.values()) >= 295
+    for text in ("Kraftfahrzeughaftpflichtversicherung", "getUserProfileByIdentifier", "electroencephalography",
+                 "src/internationalization/configuration", "anticonstitutionnellement", "=" * 30):
+        assert find(text)[1] == []
+
+
 def test_secret_query(spark):
     got = secrets.scan_secrets(table(spark))
     assert got.count() == len(awkward()) and secrets.scan_secrets(empty(spark)).count() == 0
