@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claritable.llm.common import documents, query, shared_dir
-from claritable.llm.tokens import map_texts
+from claritable.llm.tokens import encoder, vocabulary_path
 
 END_ID = 2
 LIMIT = 18
@@ -156,23 +156,48 @@ def read_block(data: bytes, table: np.ndarray, limit: int = LIMIT) -> tuple[list
     return names, np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1]) if n_docs else []
 
 
-def _counted(ids: DataFrame) -> dict[int, int]:
-    """How often each token id occurs: at most one number for each id of the vocabulary."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_IDS = "doc_id long, ids binary, width int"
+
+
+def _encoded(rows: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Ids of each text. Behind those of its last document, a task gives one row of width 0: its count of each id."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(path)
+        counts = np.zeros(max(tokens.tokenizer.get_vocab_size(), end_id + 1), np.int64)
+        kind = tokens.kind if end_id <= np.iinfo(tokens.kind).max else np.dtype("<u4")
+        end = np.array(end_id, kind).tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [x.astype(kind, copy=False) for x in tokens.encode(part.column(1).to_pylist())]
+                counts += np.bincount(np.concatenate(found), minlength=len(counts))
+                counts[end_id] += len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([x.tobytes() + end for x in found], pa.binary()),
+                     pa.array([kind.itemsize] * len(found), pa.int32())], ["doc_id", "ids", "width"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary()), pa.array([0], pa.int32())],
+            ["doc_id", "ids", "width"])
+
+    return rows.select("doc_id", "text").mapInArrow(scan, _IDS)
+
+
+def _counted(spark: SparkSession, folder: str) -> np.ndarray:
+    """How often each token id occurs: one number for each id of the vocabulary reaches the driver."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            held, widths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for width in set(widths):
-                own = b"".join(x for x, w in zip(held, widths, strict=True) if w == width)
-                part = np.bincount(np.frombuffer(own, f"<u{width}"))  # as long as the vocabulary: one for a batch
-                if len(part) > len(total):
-                    total, part = part, total
-                total[:len(part)] += part
+            for x in batch.column(0):
+                part = np.frombuffer(x.as_buffer(), np.int64)
+                total = part + total if len(total) else part
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["id", "n"])
 
-    counted = ids.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return {row["id"]: row["n"] for row in counted.toLocalIterator()}
+    parts = spark.read.schema(_IDS).parquet(folder).where("width = 0").select("ids").mapInArrow(split, "id long, n long")
+    counts = {row["id"]: row["n"] for row in parts.groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator()}
+    table = np.zeros(max(counts, default=0) + 1, np.int64)
+    table[list(counts)] = list(counts.values())
+    return table
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -186,19 +211,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """Write ``folder/blocks`` and ``folder/codes`` in ascending order of the documents' ids."""
     spark = docs.sparkSession
 
-    def keep(keys: list[pa.Array], ids: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [keys[0], pa.array([x.tobytes() for x in ids], pa.binary()),
-             pa.array([x.dtype.itemsize for x in ids], pa.int32())], ["doc_id", "ids", "width"])
-
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    map_texts(rows, ["doc_id"], "doc_id long, ids binary, width int", keep, path, end_id).write.option(
-        "compression", "zstd").parquet(f"{folder}/ids")
-    ids = spark.read.schema("doc_id long, ids binary, width int").parquet(f"{folder}/ids")
-    counts = _counted(ids)
-    total = sum(counts.values())
-    table = np.zeros(max(counts, default=0) + 1, np.int64)
-    table[list(counts)] = list(counts.values())
+    _encoded(rows, path or vocabulary_path(), end_id).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    table = _counted(spark, f"{folder}/ids")
+    total = int(table.sum())
+    ids = spark.read.schema(_IDS).parquet(f"{folder}/ids").where("width > 0")
     lengths = code_lengths(table, limit)
     codes = canonical_codes(lengths)
 

@@ -19,8 +19,12 @@ VOCABULARY = "byte_bpe_50k.json"
 
 #: What starts a word of its own where spaces may lie beside other white space, which belongs together.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Marks that never share a token with the letters before them.
-_MARKS = ",.;:!?)"
+#: Letters, marks and single line breaks, which byte-level BPE takes apart: a token never holds two of them, but for the
+#: space before letters. An apostrophe is no such mark, since it draws letters to itself.
+_LETTERS = r"[A-Za-zÀ-ÖØ-öø-ɏ]+"
+_MARKS = r"[!-&(-/:-@\[-`{-~]+"
+_PLAIN = re.compile(rf"{_LETTERS}(?:{_MARKS})?(?:\n{_LETTERS}(?:{_MARKS})?)*")
+_ATOMS = re.compile(rf"\n?{_LETTERS}|{_MARKS}")
 #: Words longer than this are encoded in place and not kept.
 _LONGEST = 64
 
@@ -42,48 +46,64 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.opens = np.zeros(size, bool)  # ids that begin with a space
+        self.opens = {" ": np.zeros(size, bool), "\n": np.zeros(size, bool)}  # ids that begin with one
         for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")
+            self.opens[" "][i], self.opens["\n"][i] = token.startswith("Ġ"), token.startswith("Ċ")
         self.keep, self.young, self.old = keep, {}, {}
-        self.marks = {mark: self._plain(mark).tobytes() for mark in _MARKS}
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, each of which begins with a space and holds no other, in a few calls."""
+    def _learn(self, words: list[str], before: str = " ", name: str = "") -> None:
+        """Encode new words behind a character that none of them holds, in a few calls; keep them by a name's start and
+        themselves."""
         for at in range(0, len(words), 2000):
             part = words[at:at + 2000]
-            # Each word opens with a space that follows a character other than white space.
-            ids = self._plain("." + " ".join(["", *part]))[1:]
-            starts = np.flatnonzero(self.opens[ids])
+            # Each word opens with a white space character that follows one of another kind.
+            ids = self._plain("." + before.join(["", *part]))[1:]
+            starts = np.flatnonzero(self.opens[before][ids])
             if len(starts) != len(part):  # cannot be for a byte-level vocabulary, yet nothing rests on it
                 for word in part:
-                    self.young[word] = self._plain(" " + word).tobytes()
+                    self.young[name + word] = self._plain("." + before + word)[1:].tobytes()
                 continue
             raw, wide = ids.tobytes(), self.kind.itemsize
             ends = [*(starts[1:] * wide).tolist(), len(raw)]
             for word, a, b in zip(part, (starts * wide).tolist(), ends, strict=True):
-                self.young[word] = raw[a:b]
+                self.young[name + word] = raw[a:b]
 
     def _meet(self, words: set[str]) -> None:
-        """Make words known that the young generation lacks, but for those that are long or beside other white space."""
+        """Make words known that the young generation lacks, but for those that are long or beside other white space.
+
+        Atoms of words, too, are kept: letters behind a line break under a space and both, marks under two spaces and
+        themselves; a word has no spaces, so none has such a name."""
         young, old = self.young, self.old
-        unknown, marked = set(), []
+        unknown, marks, composed = {"": set(), " \n": set()}, set(), []
         for word in words:
             if word in old:
                 young[word] = old[word]
             elif word and len(word) <= _LONGEST and not word[0].isspace() and not word[-1].isspace():
-                if word[-1] in _MARKS and word[:-1].isalpha():
-                    marked.append(word)
-                    if word[:-1] not in young:
-                        unknown.add(word[:-1])
-                else:
-                    unknown.add(word)
-        self._learn(sorted(unknown))
-        for word in marked:
-            young[word] = young[word[:-1]] + self.marks[word[-1]]
+                if word.isalpha() or not _PLAIN.fullmatch(word):
+                    unknown[""].add(word)
+                    continue
+                first, *rest = atoms = _ATOMS.findall(word)
+                for k, atom in enumerate(rest, 1):
+                    if atom[0] == "\n":
+                        atoms[k] = " " + atom
+                        if atoms[k] not in young:
+                            unknown[" \n"].add(atom[1:])
+                    else:
+                        atoms[k] = "  " + atom
+                        marks.add(atom)
+                if first not in young:
+                    unknown[""].add(first)
+                composed.append((word, atoms))
+        self._learn(sorted(unknown[""]))
+        self._learn(sorted(unknown[" \n"]), "\n", " \n")
+        for atom in marks:
+            if "  " + atom not in young:
+                young["  " + atom] = self._plain(atom).tobytes()
+        for word, atoms in composed:
+            young[word] = b"".join([young[atom] for atom in atoms])
 
     def _loose(self, text: str) -> bytes:
         """Ids of a text in which spaces lie beside other white space, or words are long."""
