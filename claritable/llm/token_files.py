@@ -167,8 +167,8 @@ def _encoded(rows: DataFrame, path: str, end_id: int) -> DataFrame:
         kind = tokens.kind if end_id <= np.iinfo(tokens.kind).max else np.dtype("<u4")
         end = np.array(end_id, kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 found = [x.astype(kind, copy=False) for x in tokens.encode(part.column(1).to_pylist())]
                 counts += np.bincount(np.concatenate(found), minlength=len(counts))
                 counts[end_id] += len(found)

@@ -33,13 +33,16 @@ def ids_of(tokenizer, text, end):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
-def test_encoder_equals_whole_text_encoding(tokenizer):
+def test_encoder_equals_whole_text_encoding(tokenizer, monkeypatch):
     r = random.Random(2)
     letters = ["a", "b", " ", "\n", "\t", "'s", ".", ",", "1", "é", " ", "\x85", "​", "!!", "漢", "<|endoftext|>"]
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 16))) for _ in range(4000)]
     texts += [t for _, t, *_ in awkward()] + ["w" * 200 + " x", "a  b", " a", "a "]
-    for keep in (10, 400_000):
-        encoder = Encoder(vocabulary_path(), keep)
+    texts += ["".join(r.choice(["ab", "C", "é", " ", " ", "\n", "\n\n", ".", ",", "$%", "'", "'s", "1", "ª", "\x85"])
+                      for _ in range(r.randint(0, 24))) for _ in range(4000)]
+    encoder = Encoder(vocabulary_path())
+    for chunk in (1, 90, 1 << 23):
+        monkeypatch.setattr("claritable.llm.tokens._CHUNK", chunk)
         for at in range(0, len(texts), 100):
             for text, ids in zip(texts[at:at + 100], encoder.encode(texts[at:at + 100]), strict=True):
                 assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
