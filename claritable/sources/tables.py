@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claritable.operators.cells import as_text
+from claritable.sources import records
 
 # Format of each file extension.
 FORMATS = {"csv": "csv", "tsv": "tsv", "txt": "csv", "jsonl": "jsonl", "ndjson": "jsonl",
@@ -32,12 +33,20 @@ def _reading(sep: str, multiline: bool) -> dict[str, str]:
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",",
-                   multiline: bool = True) -> DataFrame:
+                   multiline: bool = True, whole_files: bool = False) -> DataFrame:
     """Delimited text with every column a string; line breaks inside quotes belong to their cell.
 
-    ``multiline=False`` lets Spark split large files between tasks.  It is for files whose
-    cells hold no line breaks: a line with an odd number of quotes raises.
+    Large files are split between tasks, also inside cells (``sources/records.py``).  ``whole_files=True``
+    reads each file in one task by Spark's own reader; it is for lines that end with a carriage return alone.
+
+    ``multiline=False`` is for files whose cells hold no line breaks, and saves settling where records begin:
+    a line with an odd number of quotes raises.
     """
+    if multiline and not whole_files:
+        # The first record of one file names the columns.
+        named = spark.read.options(**_reading(sep, True)).csv(path).columns
+        named = [*named[:-1], named[-1].rstrip("\r")] if named else named
+        return records.parse(records.records(spark, path, sep), named, _reading(sep, True))
     if not multiline:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
@@ -111,7 +120,7 @@ def counted_preview(df: DataFrame, order_by: str | Column, limit: int = 50, offs
 
 
 def row_count(spark: SparkSession, path: str, fmt: str | None = None) -> int:
-    """Exact rows: Parquet footers, or lines of text less one header per file."""
+    """Exact rows: Parquet footers, lines of JSON, or records of delimited text."""
     kind = fmt or detect_format(path)
     if kind == "parquet":
         return spark.read.parquet(path).count()
@@ -119,14 +128,16 @@ def row_count(spark: SparkSession, path: str, fmt: str | None = None) -> int:
 
 
 def rows_per_file(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """``file, bytes, row_estimate``: the lines of every text file, less its header.
+    """``file, bytes, row_estimate``: the records of every text file, less its header.
 
-    All lines are counted, with counts combined in each task; only line breaks inside
-    quoted cells make it an estimate.
+    A record of delimited text counts once however many lines its cells have. All are counted, with counts
+    combined in each task.
     """
-    header = 1 if (fmt or detect_format(path)) in ("csv", "tsv") else 0
+    kind = fmt or detect_format(path)
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-    return lines.groupBy("file").agg(
-        F.max("bytes").alias("bytes"),
-        F.greatest(F.lit(0), F.count(F.lit(1)) - header).cast("bigint").alias("row_estimate"))
+    files = lines.groupBy("file").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    if kind in ("csv", "tsv"):
+        found = records.records(spark, path, "\t" if kind == "tsv" else ",").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        files = files.drop("n").join(found, "file", "left")  # a row for each file
+    return files.select("file", "bytes", F.coalesce("n", F.lit(0)).cast("bigint").alias("row_estimate"))

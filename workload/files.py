@@ -40,6 +40,32 @@ def _(spark, sf):
     return tables.read_table(spark, path)
 
 
+def _in_ranges(spark, sf):
+    """The documents, quotes and line breaks in their cells, as one file, and a session that reads it in ranges of 64 kB."""
+    path = f"{new_path(spark, 'ranges')}.csv"
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string"), F.concat(F.lit('"'), F.replace("text", F.lit(" the "), F.lit('\n"the",\n')), F.lit('"'))
+        .alias("text"), "lang")
+    tables.write_table(docs.coalesce(1), path)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    session.conf.set("spark.sql.files.openCostInBytes", "0")
+    return session, path
+
+
+@query("csv_ranges", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang,
+ md5('"' || replace(text, ' the ', chr(10) || '"the",' || chr(10)) || '"') AS text_md5 FROM documents""")
+def _(spark, sf):
+    session, path = _in_ranges(spark, sf)
+    return tables.read_table(session, path).select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@query("row_count_ranges", "SELECT count(*) AS rows FROM documents")
+def _(spark, sf):
+    session, path = _in_ranges(spark, sf)
+    return tables.rows_per_file(session, path).agg(F.sum("row_estimate").alias("rows"))
+
+
 @query("jsonl_nested", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, sf):
     path = f"{new_path(spark, 'nested')}.jsonl"
