@@ -10,8 +10,8 @@ from claritable.sources import delimiters, tables
 from claritable.sources.scratch import new_path
 from claritable.streaming import clean as streaming
 from workload import sql
-from workload.cleaning import CLEAN_MESSY_SQL, gate_sql, messy_plan
-from workload.inputs import MESSY, MESSY_COLUMNS, messy, table
+from workload.cleaning import CLEAN_CLAIMS_SQL, CLEAN_MESSY_SQL, claims_plan, gate_sql, messy_plan
+from workload.inputs import CLAIMS, CLAIMS_COLUMNS, MESSY, MESSY_COLUMNS, messy, table
 from workload.registry import query
 from workload.scores import MESSY_RULES, failing
 
@@ -159,6 +159,32 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/rows").withColumn("visit_date", coerce.date_to_text(F.col("visit_date")))
 
 
+def _claims_stream(spark, sf):
+    schema = table(spark, sf, "lineitem").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    return spark.sql(CLAIMS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=source)
+
+
+@query("stream_dedup", f"{sql.WITH_CLAIMS} {CLEAN_CLAIMS_SQL}")
+def _(spark, sf):
+    """A third of the claims are copies of one."""
+    root, plan = new_path(spark, "stream"), claims_plan(spark, sf)
+    streaming.stream_clean(_claims_stream(spark, sf), plan, f"{root}/rows", f"{root}/checkpoint",
+                           dedup=streaming.DedupWindow("1 day")).awaitTermination()
+    return spark.read.parquet(f"{root}/rows")
+
+
+@query("stream_dedup_metrics", f"""{sql.WITH_CLAIMS}, c AS ({CLEAN_CLAIMS_SQL}) """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows_cleaned, count(*) - count({c}) AS missing_cleaned FROM c"
+    for c in CLAIMS_COLUMNS))
+def _(spark, sf):
+    root, plan = new_path(spark, "stream"), claims_plan(spark, sf)
+    streaming.stream_clean(_claims_stream(spark, sf), plan, f"{root}/rows", f"{root}/checkpoint", metrics=f"{root}/metrics",
+                           dedup=streaming.DedupWindow("1 day")).awaitTermination()
+    return qc.merge_batches(streaming.read_metrics(spark, f"{root}/metrics")).select(
+        COLUMN, "rows_cleaned", "missing_cleaned")
+
+
 _RAW_MISSING = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) AS rows_raw, count(*) - count({sql.norm(c)}) AS missing_raw FROM messy"
     for c in MESSY_COLUMNS)
