@@ -11,6 +11,7 @@ from claritable import rules
 from claritable.functions import names, pii, text
 from claritable.functions.scoring import percent
 from claritable.operators.cells import COLUMN, DATASET, VALUE, as_text, cells, keys_of, with_dataset
+from claritable.sources.scratch import materialize
 
 _TEXT = (T.StringType, T.ArrayType, T.StructType, T.MapType)
 
@@ -105,27 +106,74 @@ def qc_columns(raw: DataFrame, cleaned: DataFrame, plan_columns: DataFrame, *, d
     )
 
 
-def row_changes(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
-    """All cell-by-cell changes of every row, matched by its key.
+#: Rows of one key that are numbered together.
+KEY_ROWS = 1 << 20
 
-    Row keys are unique, so the join has no hot key; ``raw`` carries cleaned names.
+
+def _slots(raw: DataFrame, cleaned: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``slots`` of the keys that have more than ``most`` rows on a side: at most one key for every ``most`` rows."""
+    counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) for df in (raw, cleaned)]
+    both = counts[0].unionAll(counts[1]).where(F.col("n") > most).groupBy(*keys).agg(F.max("n").alias("n"))
+    return materialize(both.select(*keys, F.ceil(F.col("n") / most).alias("slots")), "slots")
+
+
+def _numbered(df: DataFrame, keys: list[str], order: list[str], body: Column, slots: DataFrame | None) -> DataFrame:
+    """``keys, slot, occurrence, body``: rows of a key numbered in their order.
+
+    Rows of a key with many are dealt to slots by their order values, the same on both sides, and numbered there.
+    """
+    placed = F.struct(*[F.col(f"`{c}`") for c in order]) if order else body
+    rows = df.select(*keys, body.alias("body"), placed.alias("_order"), F.xxhash64(placed).alias("_mark"))
+    slot = F.lit(0).cast("long")
+    if slots is not None:
+        # Null keys are keys like any other.
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys]
+        rows = rows.alias("x").join(F.broadcast(slots).alias("y"), same, "left").select("x.*", "slots")
+        slot = F.pmod("_mark", F.coalesce("slots", F.lit(1)))
+    rows = rows.withColumn("slot", slot)
+    number = F.row_number().over(W.partitionBy(*keys, "slot").orderBy("_order", "body"))
+    return rows.select(*keys, "slot", number.alias("occurrence"), "body")
+
+
+def row_changes(raw: DataFrame, cleaned: DataFrame, key: str | list[str], order_by: str | None = None, *,
+                unique: bool = False, key_rows: int = KEY_ROWS) -> DataFrame:
+    """All cell-by-cell changes of every row; ``raw`` carries cleaned names.
+
+    Rows are matched by key and ``occurrence``: the rows of a key are numbered on both sides in the order of
+    ``order_by``, a column that cleaning keeps, or of their text without one, and the k-th meets the k-th. So a
+    repeated key multiplies no rows, and rows of one side only are those that its key has more of. A table without a
+    key is matched by its row number as key. Rows of a key are numbered up to ``key_rows`` together; a key with more is
+    dealt to slots by the order value, so rows meet within their slot, and occurrences count within it (``slot``).
+    ``unique=True`` says that keys do not repeat and saves the numbering. Null keys are matched like others.
     """
-    shared = list(dict.fromkeys(c for c in raw.columns + cleaned.columns if c != key))
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [order_by] if order_by else []
+    own = {*keys, *order}
+    shared = list(dict.fromkeys(c for c in raw.columns + cleaned.columns if c not in own))
     null = F.lit(None).cast("string")
 
     def row(df: DataFrame) -> Column:
         return F.struct(*[(as_text(df, c) if c in df.columns else null).alias(c) for c in shared])
 
-    left = raw.select(F.col(key), row(raw).alias("b"))
-    right = cleaned.select(F.col(key), row(cleaned).alias("a"))
+    if unique:
+        sides = [df.select(*keys, F.lit(0).cast("long").alias("slot"), F.lit(1).alias("occurrence"), row(df).alias("body"))
+                 for df in (raw, cleaned)]
+    else:
+        slots = _slots(raw, cleaned, keys, key_rows)
+        slots = None if slots.isEmpty() else slots
+        sides = [_numbered(df, keys, order, row(df), slots) for df in (raw, cleaned)]
+    met = [*keys, "slot", "occurrence"]
+    left, right = (side.select(F.struct(*met).alias("k"), F.col("body").alias(name))
+                   for side, name in zip(sides, "ba"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b.`{c}`").alias("before"),
                                F.col(f"a.`{c}`").alias("after")) for c in shared])
     changed = F.filter(pairs, lambda x: ~x["before"].eqNullSafe(x["after"]))
     both = F.col("b").isNotNull() & F.col("a").isNotNull()
+    k = F.coalesce("x.k", "y.k")
     return (
-        left.join(right, key, "full_outer")
+        left.alias("x").join(right.alias("y"), F.col("x.k") == F.col("y.k"), "full_outer")
         .select(
-            key,
+            *[k[c].alias(c) for c in met],
             F.when(F.col("a").isNull(), F.lit("Only in the raw table."))
             .when(F.col("b").isNull(), F.lit("Only in the cleaned table.")).alias("note"),
             F.when(both, changed).otherwise(F.slice(changed, 1, 0)).alias("changes"))
@@ -133,11 +181,12 @@ def row_changes(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
     )
 
 
-def row_diff_sample(raw: DataFrame, cleaned: DataFrame, key: str, limit: int = 5) -> DataFrame:
+def row_diff_sample(raw: DataFrame, cleaned: DataFrame, key: str | list[str], limit: int = 5, **options) -> DataFrame:
     """The first changed or removed rows by key."""
-    changes = row_changes(raw, cleaned, key)
+    keys = [key] if isinstance(key, str) else list(key)
+    changes = row_changes(raw, cleaned, key, **options)
     return (changes.filter((F.col("change_count") > 0) | F.col("note").isNotNull())
-            .orderBy(key).limit(limit))
+            .orderBy(*keys, "slot", "occurrence").limit(limit))
 
 
 # --- summaries over report tables ---------------------------------------------

@@ -188,13 +188,13 @@ _CLEANED_MESSY = f"{M}, cleaned AS ({CLEAN_MESSY_SQL})"
 
 @query("row_changes", f"{_CLEANED_MESSY} {_changes()}")
 def _(spark, sf):
-    return qc.row_changes(messy(spark, sf), clean_messy(spark, sf), "row_id").select(
+    return qc.row_changes(messy(spark, sf), clean_messy(spark, sf), "row_id", unique=True).select(
         "row_id", "change_count", _change_text())
 
 
 @query("row_diff", f"{_CLEANED_MESSY} {_changes('ORDER BY row_id LIMIT 5')}")
 def _(spark, sf):
-    return qc.row_diff_sample(messy(spark, sf), clean_messy(spark, sf), "row_id").select(
+    return qc.row_diff_sample(messy(spark, sf), clean_messy(spark, sf), "row_id", unique=True).select(
         "row_id", "change_count", _change_text())
 
 
@@ -202,10 +202,28 @@ def _(spark, sf):
 WHERE doc_id NOT IN (SELECT min(doc_id) FROM documents GROUP BY text, lang)""")
 def _(spark, sf):
     raw = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    changes = qc.row_changes(raw, dedup.drop_duplicates(raw, keep_first="doc_id"), "doc_id")
+    changes = qc.row_changes(raw, dedup.drop_duplicates(raw, keep_first="doc_id"), "doc_id", unique=True)
     return changes.filter(F.col("note").isNotNull()).select("doc_id", "note")
 
 
+_OTHERS = [c for c in CLAIMS_COLUMNS if c != "claim_id"]
+_TIES = ", ".join(f"{c} NULLS FIRST" for c in _OTHERS)  # row_id repeats too
+_RANKED = f"row_number() OVER (PARTITION BY claim_id ORDER BY row_id, {_TIES}) AS occurrence"
+
+
+@query("row_changes_repeated", f"""{C}, r AS (SELECT *, {_RANKED} FROM claims),
+d AS (SELECT min(row_id) AS row_id, {', '.join(CLAIMS_COLUMNS)} FROM claims GROUP BY {', '.join(CLAIMS_COLUMNS)}),
+c AS (SELECT *, {_RANKED} FROM d)
+SELECT claim_id, occurrence, CASE WHEN c.row_id IS NULL THEN 'Only in the raw table.' END AS note,
+ CASE WHEN c.row_id IS NULL THEN 0 ELSE {' + '.join(f"CAST(r.{c} IS DISTINCT FROM c.{c} AS INTEGER)" for c in _OTHERS)} END
+ AS change_count FROM r LEFT JOIN c USING (claim_id, occurrence)""")
+def _(spark, sf):
+    """Claim numbers repeat, one of them in a third of all rows."""
+    raw = claims(spark, sf)
+    changes = qc.row_changes(raw, dedup.drop_duplicates(raw, keep_first="row_id"), "claim_id", "row_id")
+    return changes.select("claim_id", "occurrence", "note", "change_count")
+
+
 @query("change_summary", f"""{_CLEANED}, {_QC} SELECT 0 AS renamed_columns, 3 AS typed_columns, 0 AS cols_removed,
  count(*) AS changed_fields_count, CAST(sum(invalid) AS BIGINT) AS invalid_total,
  (SELECT count(*) FROM claims) - (SELECT count(*) FROM cleaned) AS rows_removed FROM qc""")
