@@ -94,12 +94,17 @@ def finder(path: str, ratio: float = RATIO):
     def find(text: str) -> tuple[list[Span], list[Span]]:
         base = detect(text)
         more = []
+        # Base spans by start: those that begin up to a run cover it if the farthest end among them does.
+        opened, reach, starts = 0, -1, sorted((x, y) for x, _, y in base)
         for m in _RUN.finditer(text):
             run = m[0].strip("=-_/+")
             a = m.start() + m[0].index(run) if run else 0
+            while opened < len(starts) and starts[opened][0] <= a:
+                reach = max(reach, starts[opened][1])
+                opened += 1
             if len(run) >= LEAST and not known(run) and not efficient(run, path, ratio):
                 b = a + len(run)
-                if not any(x <= a and b <= y for x, _, y in base):
+                if reach < b:
                     more.append((a, 3, b))
         return base, more
     return find

@@ -348,3 +348,20 @@ def test_language_on_held_out_documents(spark):
     assert language.identify(empty(spark), net).count() == 0
     assert language.training_texts(empty(spark)) == ([], [])
     assert {r["lang_pred"] for r in language.identify(table(spark), language.train([], [])).collect()} == {"und"}
+
+
+def test_secrets_of_a_text_with_many_keys_take_time_in_proportion():
+    import time
+
+    find = secrets.finder(vocabulary_path(secrets.VOCABULARY))
+    r = random.Random(9)
+    keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+            for _ in range(8000)]
+    text = " ".join(f"token={k}" if i % 2 else k for i, k in enumerate(keys))
+    find(text[:1000])
+    started = time.process_time()
+    base, more = find(text)
+    assert len(base) == 4000 and len(more) >= 3990
+    # Runs inside a base span are no spans of their own, whatever their order.
+    assert not any(x <= a and b <= y for a, _, b in more[:200] for x, _, y in base)
+    assert time.process_time() - started < 4
