@@ -23,6 +23,7 @@ from claritable.operators.cells import (
     DATASET,
     ROW,
     VALUE,
+    as_text,
     cells,
     keys_of,
     label_map,
@@ -163,6 +164,35 @@ _INFER = {"infer_total": "non_null", "infer_date": "date_count", "infer_number":
           "infer_phone": "pii_phone", "infer_ssn": "pii_ssn", "infer_zip": "zip_count"}
 
 
+#: Standard deviations of a normal distribution that leave out a share of the cases on both sides together.
+_DEVIATIONS = {0.1: 1.645, 0.05: 1.96, 0.01: 2.576, 0.001: 3.291}
+
+
+def bottom_sample(df: DataFrame, rows: int, key: str | list[str] | None = None) -> DataFrame:
+    """The ``rows`` rows whose keys have the smallest MD5 hashes; all columns are the key where none is named.
+
+    The hashes behave like a draw without return, so the sample stands for the whole table whatever its order, and is
+    the same however the table is partitioned. Samples merge: the sample of a union is the sample of the union of the
+    samples. Each task keeps ``rows`` rows. Rows of one key are in or out together but for those at the border, which
+    go by their text.
+    """
+    keys = [key] if isinstance(key, str) else list(key or df.columns)
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    named = F.concat_ws("\x1f", *[F.coalesce(as_text(df, c), F.lit("\x00")) for c in keys])
+    return df.orderBy(F.md5(named.cast("binary")), named, whole).limit(rows)
+
+
+def sample_error(share: float, sampled: int, total: int, risk: float = 0.05) -> float:
+    """How far a share of the table may lie from ``share`` of a sample, but for the given risk.
+
+    By the normal approximation, for a draw without return; never less than the share that one row makes up.
+    """
+    if sampled >= total:
+        return 0.0
+    left = (total - sampled) / max(1, total - 1)
+    return _DEVIATIONS[risk] * (share * (1 - share) / max(1, sampled) * left) ** 0.5 + 1 / max(1, sampled)
+
+
 def profile_columns(
     df: DataFrame,
     *,
@@ -171,19 +201,21 @@ def profile_columns(
     as_of: dt.date,
     exclude: tuple[str, ...] = (),
     sample_rows: int | None = None,
+    sample_key: str | list[str] | None = None,
     head_rows: int | None = None,
     match: str = "substring",
 ) -> DataFrame:
     """One row per dataset and column.
 
-    ``sample_rows`` profiles only the first rows by ``order_by``.  ``head_rows`` infers
+    ``sample_rows`` profiles a sample by the hash of ``sample_key`` (:func:`bottom_sample`); shares of it are those
+    of the table within :func:`sample_error`.  ``head_rows`` infers
     types, hints and examples from the first non-missing cells of each column instead
     of from all of them.
     """
     source = [c for c in df.columns if c not in exclude]
     columns = dict(zip(source, names.standardize(source)))
     if sample_rows is not None:
-        df = df.orderBy(order_by).limit(sample_rows) if order_by is not None else df.limit(sample_rows)
+        df = bottom_sample(df, sample_rows, sample_key)
 
     keys = keys_of(dataset)
     long = cells(df, columns, dataset=dataset, order_by=order_by)
