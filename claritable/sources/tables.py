@@ -44,8 +44,10 @@ def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",",
     """
     if multiline and not whole_files:
         # The first record of one file names the columns.
-        named = spark.read.options(**_reading(sep, True)).csv(path).columns
-        named = [*named[:-1], named[-1].rstrip("\r")] if named else named
+        whole = spark.read.options(**_reading(sep, True)).csv(path)
+        if not whole.columns:
+            return whole  # files without a line
+        named = [*whole.columns[:-1], whole.columns[-1].rstrip("\r")]
         return records.parse(records.records(spark, path, sep), named, _reading(sep, True))
     if not multiline:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))

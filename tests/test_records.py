@@ -78,6 +78,13 @@ def test_header_over_ranges_and_files_without_rows(spark, tmp_path, ranges):
     assert found.columns == ["a\nvery\nlong\nname", "b"] and rows_of(found) == Counter({("1", "2"): 1})
 
 
+def test_files_without_a_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    found = tables.read_delimited(spark, str(tmp_path))
+    assert found.columns == [] and found.collect() == []
+    assert tables.row_count(spark, str(tmp_path), "csv") == 0
+
+
 def test_lines_that_end_inside_a_cell():
     begun, inside = records.open_cells(",")
     assert [bool(begun.fullmatch(x)) for x in ('"', 'a,"b', '"a""', '"a"', '"a",b', 'a"b', '"a"x,"', ',"', ' "a', '"a","b""c')] == [
