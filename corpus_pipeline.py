@@ -12,7 +12,7 @@ from claritable.llm.exact_dedup import drop_exact_duplicates
 from claritable.llm.mixing import mix
 from claritable.llm.packing import pack_documents
 from claritable.llm.quality import drop_poor
-from claritable.llm.similarity import drop_similar
+from claritable.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group of near copies: fingerprints of three-word shingles within three bits."""
+    return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
