@@ -2,8 +2,8 @@ r"""Personal data behind disguises, found with offsets into the source.
 
 Base detectors run on the source text. Then a chain of transducers rewrites it: look-alike characters and digits of
 other scripts become ASCII, characters without width vanish, at/dot disguises become ``@`` and ``.``, and runs of
-spelled digits become digits. A transducer is a rule and a rewriting; next to each character of its output it keeps
-the span of the source that the character came from. The detectors run again on the last output, and what they find
+spelled digits, dots in words between numbers among them, become digits. A transducer is a rule and a rewriting; next to
+each character of its output it keeps the span of the source that the character came from. The detectors run again on the last output, and what they find
 is mapped back. A span is added unless a base span of its kind covers it.
 
 Every step is linear in the text: runs start where a run of their characters starts, and addresses are sought from
@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,31 +91,36 @@ DIGIT_NAMES = (
 # Last labels that make a host written in plain words an address.
 TOP_LABELS = ("com org net edu gov info biz io co dev app example test invalid eu de fr es uk us ca au ch at nl it").split()
 _VALUE = {name: str(k) for k, names in enumerate(DIGIT_NAMES) for name in names}
-#: Spelled digits that a run must have before it is rewritten.
-LEAST_SPELLED = 4
+#: Digits, spelled or written, that a run of numbers must have before it is rewritten.
+LEAST_DIGITS = 4
 
 _NAME = "(?:" + "|".join(sorted(_VALUE, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(
-    rf"\b(?:plus[\s-]+)?{_NAME}\b(?:(?:[\s,-]{{1,3}}|[\s,-]*\b(?:dot|point|punkt|punto)[\s,-]+)"
-    rf"(?:{_NAME}\b|[0-9]+\b)){{{LEAST_SPELLED - 1},}}", re.I)
-_PART = re.compile(rf"(plus)|({_NAME}\b)|([0-9]+)|(dot|point|punkt|punto)", re.I)
+_DOT_WORD = "(?:dot|point|punkt|punto)"
+_RUN = re.compile(
+    rf"\b(?:plus[\s-]+)?(?:{_NAME}|[0-9]+)\b"
+    rf"(?:(?:[\s,-]{{1,3}}|[\s,-]*\b{_DOT_WORD}[\s,-]+)(?:{_NAME}|[0-9]+)\b)+", re.I)
+_PART = re.compile(rf"(plus)|({_NAME}\b)|([0-9]+)|({_DOT_WORD})", re.I)
 _OPEN, _SHUT = r"\s{0,3}[\[({<] ?", r" ?[\])}>]\s{0,3}"
+_BETWEEN = rf"(?:\s{{1,3}}{_DOT_WORD}\s{{1,3}}|{_OPEN}(?:{_DOT_WORD}|\.){_SHUT})"
+_KNOWN_LABEL = rf"(?:{'|'.join(TOP_LABELS)})\b"
 _AT = re.compile(
-    rf"{_OPEN}(?:at|ät|arroba|arobase){_SHUT}|(?<=[A-Za-z0-9])\s{{1,3}}(?:at|arroba|arobase)\s{{1,3}}"
-    rf"(?=[A-Za-z0-9-]{{1,63}}(?:(?:\.|\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}|{_OPEN}(?:dot|punkt|point|punto){_SHUT})"
-    rf"[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}|{_OPEN}(?:dot|punkt|point|punto){_SHUT})"
-    rf"(?:{'|'.join(TOP_LABELS)})\b)", re.I)
-_BRACKET_DOT = re.compile(rf"{_OPEN}(?:dot|punkt|point|punto){_SHUT}", re.I)
+    rf"{_OPEN}(?:at|ät|arroba|arobase|@){_SHUT}|(?<=[A-Za-z0-9])\s{{1,3}}(?:at|arroba|arobase)\s{{1,3}}"
+    rf"(?=[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_BETWEEN})[A-Za-z0-9-]{{1,63}}){{0,4}}{_BETWEEN}{_KNOWN_LABEL})", re.I)
+_BRACKET_DOT = re.compile(rf"{_OPEN}(?:{_DOT_WORD}|\.){_SHUT}", re.I)
+_WORD_DOT = re.compile(rf"\s{{1,3}}{_DOT_WORD}\s{{1,3}}", re.I)
+#: After an at sign: any last label if all dots are words; a known one if the host is an address without the words.
 _HOST_DOT = re.compile(
-    r"(?<=@)[A-Za-z0-9-]{1,63}(?:(?:\.|\s{1,3}(?:dot|punkt|point|punto)\s{1,3})[A-Za-z0-9-]{1,63}){0,4}?"
-    rf"\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}(?:{'|'.join(TOP_LABELS)})\b", re.I)
+    rf"(?<=@)[A-Za-z0-9-]{{1,63}}(?:(?:{_WORD_DOT.pattern}[A-Za-z0-9-]{{1,63}}){{0,4}}{_WORD_DOT.pattern}[A-Za-z]{{2,24}}\b"
+    rf"|(?:(?:\.|{_WORD_DOT.pattern})[A-Za-z0-9-]{{1,63}}){{0,4}}?{_WORD_DOT.pattern}{_KNOWN_LABEL})", re.I)
 _LOCAL_DOT = re.compile(
-    r"(?:[A-Za-z0-9_%+-]{1,64}\s{1,3}(?:dot|punkt|point|punto)\s{1,3}){1,4}(?=[A-Za-z0-9._%+-]{1,64}@)", re.I)
-_WORD_DOT = re.compile(r"\s{1,3}(?:dot|punkt|point|punto)\s{1,3}", re.I)
+    rf"(?:[A-Za-z0-9_%+-]{{1,64}}{_WORD_DOT.pattern}){{1,4}}(?=[A-Za-z0-9._%+-]{{1,64}}@)", re.I)
 _WIDTHLESS = re.compile("[​‌‍⁠﻿­]+")
-#: One of these is in every text that has an at/dot disguise; plain searches are quick.
+#: One of these is in every text that has an at/dot disguise in words; plain searches are quick.
 _HINTS = ("dot", "punkt", "point", "punto", "at]", "at)", "at}", "at>", "at ]", "at )", "at }", "at >", "arroba]",
           "arroba)", "arobase]", "arobase)", "ät]", "ät)")
+#: And these in all others that are rewritten; for text in lower case.
+_BRACKETED = re.compile(r"[\[({<] ?[@.] ?[\])}>]")
+_SPELLED = re.compile(rf"\b{_NAME}[\s,-]{{1,3}}{_NAME}\b")
 
 
 class _Ascii(dict):
@@ -152,14 +157,10 @@ class Tape:
         at = np.arange(len(text) + 1)
         return cls(text, at[:-1], at[1:])
 
-    def rewrite(self, rule: re.Pattern, write: Callable[[re.Match], str | None]) -> Tape:
-        """What ``rule`` matches becomes what ``write`` says (None: stays) and spans all of the match."""
+    def edit(self, edits: Iterable[tuple[int, int, str]]) -> Tape:
+        """Each range of the text becomes what its edit says, which spans all of the range; ranges ascend."""
         text, starts, ends, last = [], [], [], 0
-        for m in rule.finditer(self.text):
-            out = write(m)
-            if out is None:
-                continue
-            a, b = m.span()
+        for a, b, out in edits:
             text += [self.text[last:a], out]
             starts += [self.start[last:a], np.full(len(out), self.start[a])]
             ends += [self.end[last:a], np.full(len(out), self.end[b - 1])]
@@ -169,29 +170,43 @@ class Tape:
         return Tape("".join([*text, self.text[last:]]), np.concatenate([*starts, self.start[last:]]),
                     np.concatenate([*ends, self.end[last:]]))
 
+    def rewrite(self, rule: re.Pattern, out: str) -> Tape:
+        return self.edit((*m.span(), out) for m in rule.finditer(self.text))
 
-def _digits(m: re.Match) -> str | None:
-    parts = list(_PART.finditer(m[0]))
-    if sum(bool(p[2]) for p in parts) < LEAST_SPELLED:
-        return None
-    return "".join("+" if p[1] else _VALUE[p[2].lower()] if p[2] else p[3] or "." for p in parts)
+    def dotted(self, rule: re.Pattern) -> Tape:
+        """The dot words in what ``rule`` matches become dots."""
+        return self.edit((*w.span(), ".") for m in rule.finditer(self.text) for w in _WORD_DOT.finditer(self.text, *m.span()))
+
+
+def _digits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that turn runs of numbers into digits: runs in which two spelled digits meet or a dot is a word."""
+    for m in _RUN.finditer(text):
+        parts = list(_PART.finditer(text, *m.span()))
+        pairs = list(zip(parts, parts[1:], strict=False))
+        if not any(p[4] or p[2] and q[2] for p, q in pairs):
+            continue
+        if sum(1 if p[2] else len(p[3] or "") for p in parts) < LEAST_DIGITS:
+            continue
+        for p, q in zip(parts, [*parts[1:], None], strict=True):
+            if not p[3]:
+                yield *p.span(), "+" if p[1] else _VALUE[p[2].lower()] if p[2] else "."
+            if q and p.end() < q.start():
+                yield p.end(), q.start(), "" if p[1] or p[4] or q[4] or p[2] and q[2] else " "
 
 
 def normalise(text: str) -> Tape | None:
     """The tape after all transducers; None if none of them changes the text."""
     plain = text if text.isascii() else text.translate(_ascii)
     low = plain.lower()
-    hints = (plain is not text and plain != text, any(x in low for x in _HINTS), bool(_SPELLED.search(plain)),
-             not text.isascii() and bool(_WIDTHLESS.search(text)))
-    if not any(hints):
+    widthless = not text.isascii() and bool(_WIDTHLESS.search(text))
+    if not (widthless or plain is not text and plain != text or any(x in low for x in _HINTS)
+            or _BRACKETED.search(low) or _SPELLED.search(low)):
         return None
     tape = Tape.of(plain)
-    tape = tape.rewrite(_WIDTHLESS, lambda m: "") if hints[3] else tape
-    # Spelled digits go first, since a dot within them belongs to their run.
-    tape = tape.rewrite(_SPELLED, _digits)
-    tape = tape.rewrite(_AT, lambda m: "@").rewrite(_BRACKET_DOT, lambda m: ".")
-    tape = tape.rewrite(_HOST_DOT, lambda m: _WORD_DOT.sub(".", m[0]))
-    return tape.rewrite(_LOCAL_DOT, lambda m: _WORD_DOT.sub(".", m[0])) if "@" in tape.text else tape
+    tape = tape.rewrite(_WIDTHLESS, "") if widthless else tape
+    # Numbers go first, since a dot within them belongs to their run.
+    tape = tape.edit(_digits(tape.text)).rewrite(_AT, "@").rewrite(_BRACKET_DOT, ".")
+    return tape.dotted(_HOST_DOT).dotted(_LOCAL_DOT) if "@" in tape.text else tape
 
 
 def find_pii(text: str) -> tuple[list[Span], list[Span]]:

@@ -81,6 +81,15 @@ def test_pii_base_spans():
     ("４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
     ("four one one one one one one one one one one one one one one one", "card", None),
     ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("user[@]host[.]org", "email", None),
+    ("to a(.)b@c(.)org", "email", "a(.)b@c(.)org"),
+    ("from 192[.]168[.]0[.]1 on", "ip", "192[.]168[.]0[.]1"),
+    ("at 192 dot 168 dot 1 dot 20 7 times", "ip", "192 dot 168 dot 1 dot 20"),
+    ("jan [at] firma dot pl", "email", None),
+    ("jan{at}mail dot firma dot ai, soon", "email", "jan{at}mail dot firma dot ai"),
+    ("call +49 170 five five five 1234 now", "phone", "+49 170 five five five 1234"),
+    ("card 4111 1111 one one one one 1111", "card", "4111 1111 one one one one 1111"),
+    ("four two 1 dot 1 dot 0 dot 9", "ip", "four two 1 dot 1 dot 0 dot 9"[9:]),
 ])
 def test_pii_behind_disguises(text, kind, found):
     base, more = pii.find_pii(text)
@@ -90,10 +99,25 @@ def test_pii_behind_disguises(text, kind, found):
 
 def test_pii_leaves_plain_prose_alone():
     for text in ("we sat at the dot party", "look at polka dot party", "one two three and four", prose(3, 400),
-                 "five of six came at ten", "at one point in time", "zero one two three four five six"):
+                 "five of six came at ten", "at one point in time", "zero one two three four five six",
+                 "1999 one of 2 point 5 million", "a list (.) of [.] marks", "five four dot com", "see section 3 dot 4 dot 5",
+                 "look @ home dot dot", "3, 4, 5, six, seven of 12 point 10", "12 34 56 one two 78 90 12 34"):
         assert pii.find_pii(text) == ([], [])
 
 
+def test_pii_base_spans_are_not_stretched_by_prose():
+    for text, found in (("jo@x.com point out", "jo@x.com"), ("+1 555 123 4567 one more", "+1 555 123 4567"),
+                        ("10.0.0.1 dot 5", "10.0.0.1"), ("4111 1111 1111 1111 one", "4111 1111 1111 1111")):
+        base, more = pii.find_pii(text)
+        assert [text[a:b] for a, _, b in base] == [found] and not more
+
+
+def test_pii_takes_long_runs_in_linear_time():
+    for text in ("12 " * 100_000 + "one two", "one " * 100_000, "a [.] " * 50_000, "1 dot " * 50_000, " " * 300_000 + "dot",
+                 "x@" * 50_000 + " dot " * 50_000):
+        pii.find_pii(text)
+
+
 def test_pii_query(spark):
     extra = [(50, "a@b.co and a [at] b [dot] co", "en", "s", 0, 0, "", "", "")]
     got = {(r["doc_id"], r["spans"]): r for r in pii.scan_pii(table(spark, awkward() + extra)).collect()}
