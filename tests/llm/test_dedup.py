@@ -53,7 +53,7 @@ def test_exact_dedup_hot_group_and_rows_that_stay(spark):
         {(keep, sha): 1 for _, keep, _, first, sha in expected_exact(awkward()) if first})
 
 
-def expected_lines(rows, run=3):
+def expected_lines(rows, run=3, size=50):
     """Later runs deleted, straight from the definition; rows alike in id and text are one document."""
     docs = {}
     for i, text, *_ in rows:
@@ -66,10 +66,14 @@ def expected_lines(rows, run=3):
     gone = defaultdict(set)
     for key in sorted(docs):
         _, text, split, full = docs[key]
-        for at in range(len(full) - run + 1):
-            window = tuple(split[k].strip(" \t\n\x0b\x0c\r") for k in full[at:at + run])
+        for at in range(len(full)):
+            own = next((full[at:at + k] for k in range(1, run + 1) if at + k <= len(full) and (
+                k == run or sum(len(words(split[j])) for j in full[at:at + k]) >= size)), None)
+            if own is None:
+                continue
+            window = tuple(split[k].strip(" \t\n\x0b\x0c\r") for k in own)
             if window in seen:
-                gone[key].update(full[at:at + run])
+                gone[key].update(own)
             seen.add(window)
     for key, (i, text, split, full) in docs.items():
         left = text if text is None else "\n".join(x for k, x in enumerate(split) if k not in gone[key])
@@ -85,14 +89,25 @@ def test_line_dedup(spark):
         (r[0], *want[r[0], r[1]]) for r in awkward())
 
 
-@pytest.mark.parametrize("run", [1, 2, 4])
-def test_line_dedup_run_lengths(spark, run):
-    rows = [(k, "\n".join("abcdefg"[(k * j + j * j) % 7] for j in range(14)), "", "", 0, 0, "", "", "") for k in range(12)]
-    got = line_dedup.deduplicate_lines(table(spark, rows), run)
-    want = expected_lines(rows, run)
+@pytest.mark.parametrize("run,size", [(1, 50), (2, 50), (4, 50), (4, 3), (3, 5), (5, 7)])
+def test_line_dedup_window_lengths(spark, run, size):
+    line = {c: " ".join([c] * (1 + k % 3)) for k, c in enumerate("abcdefg")}
+    rows = [(k, "\n".join(line["abcdefg"[(k * j + j * j) % 7]] for j in range(14)), "", "", 0, 0, "", "", "")
+            for k in range(12)]
+    got = line_dedup.deduplicate_lines(table(spark, rows), run, size)
+    want = expected_lines(rows, run, size)
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((r[0], want[r[0], r[1]][0]) for r in rows)
 
 
+def test_long_lines_that_repeat_alone(spark):
+    long, two = prose(60, 60), f"{prose(61, 30)}\n{prose(62, 25)}"
+    texts = [f"first\n{long}\nthird", f"{prose(1, 9)}\n{long}", long, prose(63, 49), prose(63, 49), two, f"start\n{two}\nend",
+             f"{prose(61, 30)}\n{prose(64, 25)}"]
+    rows = [(k, t, "", "", 0, 0, "", "", "") for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(table(spark, rows)).collect()}
+    assert got == dict(enumerate([texts[0], prose(1, 9), "", texts[3], texts[4], two, "start\nend", texts[7]]))
+
+
 def words(text):
     return [x for x in SPACE.split(text or "") if x]
 
