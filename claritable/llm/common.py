@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")

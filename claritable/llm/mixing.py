@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claritable.llm.common import documents, nested, query, unnested
+from claritable.llm.common import documents, nested, query, settle, unnested
 
 SEED = 17
 #: Default target: shares in proportion to characters to this power, which lifts small sources.
@@ -41,7 +41,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, po
                  text_column: str = "text", source_column: str = "source") -> DataFrame:
     """``_source, rate``: mean repetitions of each source; the mix has as many characters as the table on average."""
     size = F.coalesce(F.length(text_column), F.lit(0)).cast("long")
-    totals = docs.groupBy(F.coalesce(F.col(source_column), F.lit("")).alias("_source")).agg(F.sum(size).alias("chars"))
+    totals = settle(docs.groupBy(F.coalesce(F.col(source_column), F.lit("")).alias("_source")).agg(
+        F.sum(size).alias("chars")))
     if weights is None:
         weight = F.pow(F.col("chars").cast("double"), F.lit(power))
     else:

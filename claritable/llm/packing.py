@@ -1,13 +1,14 @@
 """Best-fit packing of token sequences by exact complements.
 
 Pieces count only by their length, of which there are at most ``capacity``: the plan is made from the number of pieces
-of each length, so what the driver holds does not grow with the data. For each length, longest first, combinations of
-one, two or three other lengths that fill its gap exactly are looked up by their sum and consumed as often as the
-counts allow. What is left is placed best-fit: each length, longest first, goes to the smallest gap that holds it,
+of each length, so what the driver holds does not grow with the data. The sums of one, two and three lengths in stock
+are indexed. For each length, longest first, the combinations that fill its gap exactly are looked up by their sum and
+consumed as often as the counts allow; those that the counts no longer allow leave the index. What is left is placed best-fit: each length, longest first, goes to the smallest gap that holds it,
 many sequences at a time.
 
 The plan says which sequence and place the k-th piece of a length gets. Pieces are numbered within their length by
-salted groups: each (length, salt) is numbered on its own, after the counts of the salts before it. The number of salts
+salted groups: each (length, salt) is numbered on its own, after the counts of the salts before it. The salt comes from
+a row number that is written with the pieces, so that pieces alike in all columns spread too. The number of salts
 grows with the square root of the pieces, so a length that a third of all pieces share is numbered by many tasks.
 
 Cases: a null text counts as empty and is one end id; documents above the capacity are cut, with the shorter piece
@@ -38,45 +39,72 @@ END_ID = 0
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-def _times(counts: np.ndarray, lengths: tuple[int, ...]) -> int:
-    return min(int(counts[x]) // k for x, k in Counter(lengths).items())
-
-
-def _exact(counts: np.ndarray, capacity: int, plan: Plan) -> None:
-    """Consume what fills a sequence exactly with up to four pieces."""
-    def use(lengths: tuple[int, ...]) -> None:
-        n = _times(counts, lengths)
+class Complements:
+    """What fills a gap exactly: the lengths in stock by the sums of one, two and three of them.
+
+    A pair is kept under its sum by its larger part, a triple under its sum by one part, whose other two are the pairs
+    of the rest. Counts only fall, so an entry that the counts no longer allow is taken off its list for good.
+    """
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.counts = counts.tolist()
+        stocked = counts > 0
+        # Taken from the end: pairs of like parts first, triples with the longest part first.
+        self.pairs: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.triples: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for total in range(2, capacity):
+            small = np.arange(1, total // 2 + 1)
+            self.pairs[total] = (total - small[stocked[small] & stocked[total - small]]).tolist()
+        paired = np.array([bool(x) for x in self.pairs])
+        for total in range(3, capacity):
+            part = np.arange((total + 2) // 3, total - 1)
+            self.triples[total] = part[stocked[part] & paired[total - part]].tolist()
+
+    def use(self, lengths: tuple[int, ...], plan: Plan) -> None:
+        n = min(self.counts[x] // k for x, k in Counter(lengths).items())
         if n:
             plan.append((lengths, n))
             for x in lengths:
-                counts[x] -= n
+                self.counts[x] -= n
+
+    def fill(self, longest: int, gap: int, plan: Plan) -> None:
+        """Fill sequences that begin with ``longest`` as often as the counts allow."""
+        self.use((longest, gap), plan)
+        self._with_pairs((longest,), gap, plan)
+        waiting = []
+        while self.triples[gap] and self.counts[longest]:
+            part = self.triples[gap][-1]
+            if self.counts[part]:
+                self._with_pairs((longest, part), gap - part, plan)
+            entry = self.triples[gap].pop() if self.counts[longest] else None
+            # With pairs and the part left, it was only this length that they lacked.
+            if entry is not None and self.counts[part] and self.pairs[gap - part]:
+                waiting.append(entry)
+        self.triples[gap] += reversed(waiting)
+
+    def _with_pairs(self, given: tuple[int, ...], total: int, plan: Plan) -> None:
+        counts, pairs, waiting = self.counts, self.pairs[total], []
+        while pairs and all(counts[x] for x in given):
+            a, b = pairs[-1], total - pairs[-1]
+            if counts[a] and counts[b]:
+                self.use((*given, a, b), plan)
+                if not all(counts[x] for x in given):
+                    break
+            pairs.pop()
+            if counts[a] and counts[b] and (a != b or counts[a] > 1):
+                waiting.append(a)
+        pairs += reversed(waiting)
+
 
+def _exact(counts: np.ndarray, capacity: int, plan: Plan) -> None:
+    """Consume what fills a sequence exactly with up to four pieces."""
+    stock = Complements(counts, capacity)
     for longest in range(capacity, 0, -1):
-        if not counts[longest]:
-            continue
-        gap = capacity - longest
-        if not gap:
-            use((longest,))
-            continue
-        use((longest, gap))
-        # Pairs by their sum: both lengths must be there.
-        small = np.arange(1, gap // 2 + 1)
-        for a in small[(counts[small] > 0) & (counts[gap - small] > 0)][::-1].tolist():
-            if not counts[longest]:
-                break
-            use((longest, gap - a, a))
-        # Triples: one length, then pairs that sum to the rest.
-        for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if not counts[longest]:
-                break
-            if not counts[a]:
-                continue
-            rest = gap - a
-            small = np.arange(max(1, rest - a), rest // 2 + 1)
-            for b in small[(counts[small] > 0) & (counts[rest - small] > 0)][::-1].tolist():
-                if not (counts[longest] and counts[a]):
-                    break
-                use((longest, a, rest - b, b))
+        if stock.counts[longest] and longest == capacity:
+            stock.use((longest,), plan)
+        elif stock.counts[longest]:
+            stock.fill(longest, capacity - longest, plan)
+    counts[:] = stock.counts
 
 
 def _best_fit(counts: np.ndarray, capacity: int, plan: Plan) -> None:
@@ -172,16 +200,15 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``doc_id, piece, start, length, ids_crc32``)."""
-    pieces = settle(pieces)
+    pieces = settle(pieces.withColumn("row", F.monotonically_increasing_id()))
     counts = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}  # capacity at most
     keys, ranks, sequences, offsets = _slots(plan_sequences(counts, capacity), counts)
     salts = max(1, math.isqrt(sum(counts.values())) // 4)
-    own = ["doc_id", "piece", "start", "ids_crc32"]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select(
         F.col("length"), "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*own))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row"))
     ranked = salted.withColumn("within", within - 1).join(base, ["length", "salt"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

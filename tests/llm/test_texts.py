@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -271,6 +272,32 @@ def test_exact_complements_fill_sequences():
         assert all(sum(lengths) == 10 for lengths, _ in plan)
 
 
+def test_no_exact_combination_is_left():
+    r = random.Random(3)
+    for _ in range(200):
+        capacity = r.choice([5, 12, 24, 30])
+        counts = np.zeros(capacity + 1, np.int64)
+        for _ in range(r.randint(0, 14)):
+            counts[r.randint(1, capacity)] += r.choice([1, 1, 2, 3, 50])
+        left, plan, placed = counts.copy(), [], Counter()
+        packing._exact(left, capacity, plan)
+        for lengths, times in plan:
+            assert sum(lengths) == capacity and len(lengths) <= 4
+            for x in lengths:
+                placed[x] += times
+        assert all(left[x] >= 0 and placed[x] + left[x] == counts[x] for x in range(capacity + 1))
+        stock = np.flatnonzero(left).tolist()
+        for n in range(1, 5):
+            for lengths in combinations_with_replacement(stock, n):
+                assert sum(lengths) != capacity or any(left[x] < k for x, k in Counter(lengths).items())
+
+
+def test_packing_of_pieces_alike_in_all_columns(spark):
+    got = packing.pack_documents(table(spark, [(None, "", "", "", 0, 0, "", "", "")] * 5000), capacity=64).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5000
+    assert {r["length"] for r in got} == {1} and len({r["sequence_id"] for r in got}) == -(-5000 // 64)
+
+
 def test_packing(spark, tokenizer):
     docs = table(spark)
     got = packing.pack_documents(docs, capacity=64).collect()
