@@ -148,6 +148,20 @@ def _month_number(c: Column) -> Column:
     return F.floor((F.position(name, F.lit(_MONTHS)) + 3) / 4).cast("string")
 
 
+_DATE_START = (r"(?i)^\s*(?:\d|mon|tue|wed|thu|fri|sat|sun|" + _MONTHS.replace(" ", "|") + ")")
+_NOT_NUMERIC = r"(?U)[^\s\x00-\x20\d.,$+\-eE]"
+
+
+def may_be_date(c: Column) -> Column:
+    """Cheap test that every text with a :func:`timestamp` passes: all forms start with a digit, month or weekday."""
+    return c.rlike(_DATE_START)
+
+
+def may_be_number(c: Column) -> Column:
+    """Cheap test that every number and postal code passes: no letter but of an exponent, and no other sign."""
+    return ~c.rlike(_NOT_NUMERIC)
+
+
 def date(c: Column, as_of: dt.date) -> Column:
     return timestamp(c, as_of).cast("date")
 

@@ -1,10 +1,13 @@
-"""Column profile: one scan, one value histogram, everything else read from it.
+"""Column profile: one value histogram, everything else read from it.
 
 The histogram ``(dataset_id, column_name, value) -> n, first_row`` is the only large
 shuffle.  Counts are combined before it, so a value that fills a third of a table
-travels once per map task; patterns and parsers then run per distinct value, not per
-cell.  Top values and examples are cut per partition before they are brought together
-(``row_number() <= k``), so no task ever holds all values of a column.
+travels once per map task.  A value of up to ``KEY_BYTES`` bytes is its own key, and
+patterns and parsers run per distinct value.  A longer one travels as a digest of 128
+bits with what patterns and parsers found in it, so no row of the shuffle is longer
+than a stated size however long the cells are.  Top values and examples are cut per
+partition before they are brought together (``row_number() <= k``), so no task ever
+holds all values of a column; only the texts of these winners are looked up again.
 """
 
 from __future__ import annotations
@@ -33,44 +36,75 @@ from claritable.operators.cells import (
 EXAMPLES = 5
 EXAMPLE_WINDOW = 50
 TOP_VALUES = 3
+#: Longer values are counted by digest.
+KEY_BYTES = 32
+DIGEST = "digest"
 
 
-def histogram(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Occurrences and first row of every value; missing tokens share the NULL entry."""
+def _digest(value: Column) -> Column:
+    return F.unhex(F.md5(value.cast("binary")))
+
+
+def _signals(value: Column) -> dict[str, Column]:
+    return {
+        "number_count": coerce.looks_numeric(value),
+        "boolean_count": coerce.looks_boolean(value),
+        "pii_email": pii.has_email(value),
+        "pii_phone": pii.has_phone(value),
+        "pii_ssn": pii.has_ssn(value),
+        "zip_count": pii.is_zip(value),
+    }
+
+
+_NUMERIC_SIGNALS = ("number_count", "zip_count")
+
+
+def histogram(long: DataFrame, keys: list[str], as_of: dt.date) -> DataFrame:
+    """Occurrences and first row of every value; missing tokens share the entry without a value.
+
+    ``value`` holds short values. Of a long one there is its digest, its time, its number and its signals as bits;
+    these follow from the value, so grouping by them splits no group.
+    """
+    value = F.col(VALUE)
+    is_long = F.octet_length(value) > KEY_BYTES
+    # Long cells are parsed one by one, so cheap tests go before the parsers that take most of the time.
+    numeric = coerce.may_be_number(value)
+    flags = _signals(value) | {k: numeric & v for k, v in _signals(value).items() if k in _NUMERIC_SIGNALS}
+    bits = [F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(flags.values())]
     return (
-        long.select(*keys, text.normalize_missing(F.col(VALUE)).alias(VALUE), ROW)
-        .groupBy(*keys, VALUE)
+        long.select(*keys, text.normalize_missing(value).alias(VALUE), ROW)
+        .select(*keys, F.when(~is_long, value).alias(VALUE),
+                F.when(is_long, _digest(value)).alias(DIGEST),
+                F.when(is_long & coerce.may_be_date(value), coerce.timestamp(value, as_of)).alias("long_ts"),
+                F.when(is_long & numeric, coerce.plain_number(value)).alias("long_num"),
+                F.when(is_long, sum(bits[1:], bits[0])).alias("long_bits"), ROW)
+        .groupBy(*keys, VALUE, DIGEST, "long_ts", "long_num", "long_bits")
         .agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row"))
     )
 
 
-def _weighted(flag: Column) -> Column:
-    return F.sum(F.when(flag, F.col("n")).otherwise(F.lit(0)))
+def _filled() -> Column:
+    return F.col(VALUE).isNotNull() | F.col(DIGEST).isNotNull()
 
 
-def _signal_counts(value: Column, as_of: dt.date) -> dict[str, Column]:
-    return {
-        "date_count": _weighted(F.col("_ts").isNotNull()),
-        "number_count": _weighted(coerce.looks_numeric(value)),
-        "boolean_count": _weighted(coerce.looks_boolean(value)),
-        "pii_email": _weighted(pii.has_email(value)),
-        "pii_phone": _weighted(pii.has_phone(value)),
-        "pii_ssn": _weighted(pii.has_ssn(value)),
-        "zip_count": _weighted(pii.is_zip(value)),
-    }
+def _weighted(flag: Column) -> Column:
+    return F.sum(F.when(flag, F.col("n")).otherwise(F.lit(0)))
 
 
 def measure(hist: DataFrame, keys: list[str], as_of: dt.date) -> DataFrame:
     """Counts and ranges per column."""
-    value = F.col(VALUE)
-    parsed = hist.withColumns({"_ts": coerce.timestamp(value, as_of),
-                               "_num": coerce.plain_number(value)})
+    value, bits = F.col(VALUE), F.col("long_bits")
+    signals = {name: F.when(bits.isNotNull(), bits.bitwiseAND(1 << i) != 0).otherwise(flag)
+               for i, (name, flag) in enumerate(_signals(value).items())}
+    parsed = hist.withColumns({"_ts": F.coalesce(coerce.timestamp(value, as_of), F.col("long_ts")),
+                               "_num": F.coalesce(coerce.plain_number(value), F.col("long_num"))})
     return parsed.groupBy(*keys).agg(
         F.sum("n").alias("row_count"),
-        _weighted(value.isNotNull()).alias("non_null"),
+        _weighted(_filled()).alias("non_null"),
         # first_row is read here too, so that all readers share one histogram exchange.
-        F.count(F.when(F.col("first_row").isNotNull(), value)).alias("distinct_count"),
-        *[c.alias(name) for name, c in _signal_counts(value, as_of).items()],
+        F.count_if(F.col("first_row").isNotNull() & _filled()).alias("distinct_count"),
+        _weighted(F.col("_ts").isNotNull()).alias("date_count"),
+        *[_weighted(flag).alias(name) for name, flag in signals.items()],
         F.min("_num").alias("num_min"),
         F.max("_num").alias("num_max"),
         (F.sum(F.col("_num") * F.col("n")) / _weighted(F.col("_num").isNotNull())).alias("num_mean"),
@@ -80,50 +114,78 @@ def measure(hist: DataFrame, keys: list[str], as_of: dt.date) -> DataFrame:
 
 
 def _first_by(hist: DataFrame, keys: list[str], limit: int, *order) -> DataFrame:
-    """The first non-null values of each column in the given order.
+    """The first values of each column in the given order; rows of one row key go by short value, then by digest.
 
-    NULL is ordered last and dropped after the cut: a filter below the histogram would
+    The entry without a value is ordered last and dropped after the cut: a filter below the histogram would
     give this reader an exchange of its own.
     """
-    window = W.partitionBy(*keys).orderBy(F.col(VALUE).isNull(), *order)
+    window = W.partitionBy(*keys).orderBy(~_filled(), *order, VALUE, DIGEST)
     return (
         hist.withColumn("rank", F.row_number().over(window))
-        .filter((F.col("rank") <= limit) & F.col(VALUE).isNotNull())
+        .filter((F.col("rank") <= limit) & _filled())
+        .select(*keys, "rank", VALUE, DIGEST, "n")
     )
 
 
 def top_values(hist: DataFrame, keys: list[str], limit: int = TOP_VALUES) -> DataFrame:
-    """Most frequent values per column, ties by first appearance then value."""
-    return _first_by(hist, keys, limit, F.desc("n"), "first_row", VALUE).select(
-        *keys, "rank", VALUE, "n")
+    """Most frequent values per column, ties by first appearance."""
+    return _first_by(hist, keys, limit, F.desc("n"), "first_row")
 
 
 def example_values(hist: DataFrame, keys: list[str], window: int = EXAMPLE_WINDOW) -> DataFrame:
     """First values of each column in row order."""
-    return _first_by(hist, keys, window, "first_row", F.desc("n"), VALUE).select(
-        *keys, "rank", VALUE)
+    return _first_by(hist, keys, window, "first_row", F.desc("n"))
+
 
+def long_texts(long: DataFrame, keys: list[str], wanted: DataFrame, few: bool) -> DataFrame:
+    """``(keys, digest, value)`` of the wanted digests, from a second look at the long cells.
+
+    ``few`` says that ``wanted`` holds one table's columns, so at most ``EXAMPLE_WINDOW + TOP_VALUES`` rows of each:
+    it is broadcast, and where nothing long was found the cells are not read again. With many datasets Spark
+    chooses the join by size.
+    """
+    wanted = wanted.filter(F.col(DIGEST).isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys],
+                                                             F.col(DIGEST).alias("_digest"))
+    # Null-safe keys: a plain equality would filter null keys below the histogram, which then had two exchanges.
+    matches = F.col(DIGEST) == F.col("_digest")
+    for k in keys:
+        matches &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    # No digest of a missing token is wanted, so tokens need no look here.
+    looked_up = (
+        long.select(*keys, VALUE)
+        .filter(F.octet_length(VALUE) > KEY_BYTES)
+        .withColumn(DIGEST, _digest(F.col(VALUE)))
+        .join(F.broadcast(wanted) if few else wanted, matches)
+    )
+    # A set, since its state is merged by hash where a minimum of texts would sort all of their copies.
+    return looked_up.groupBy(*keys, DIGEST).agg(F.collect_set(VALUE)[0].alias(VALUE))
 
-def _assemble(stats: DataFrame, top: DataFrame, examples: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per column from its measures, top values and examples.
+
+def _assemble(stats: DataFrame, top: DataFrame, examples: DataFrame, texts: DataFrame,
+              keys: list[str]) -> DataFrame:
+    """One row per column from its measures, top values, examples and their long texts.
 
     A union and one small aggregate rather than joins: a self-join would give each side
-    its own copy of the histogram, a union lets all three read the same exchange.
+    its own copy of the histogram, a union lets all readers share the same exchange.
     """
     measures = [c for c in stats.columns if c not in keys]
-    pair = F.struct("rank", VALUE, "n")
-    line = F.struct("rank", text.collapse(F.col(VALUE)).alias(VALUE))
-    parts = (
-        stats.unionByName(top.select(*keys, pair.alias("_top")), allowMissingColumns=True)
-        .unionByName(examples.select(*keys, line.alias("_example")), allowMissingColumns=True)
-    )
-    ordered = F.transform(F.array_sort(F.collect_list("_example")), lambda x: x[VALUE])
-    return parts.groupBy(*keys).agg(
+    parts = stats
+    for rows, fields, name in ((top, ("rank", VALUE, DIGEST, "n"), "_top"),
+                               (examples, ("rank", VALUE, DIGEST), "_example"),
+                               (texts, (DIGEST, VALUE), "_text")):
+        parts = parts.unionByName(rows.select(*keys, F.struct(*fields).alias(name)), allowMissingColumns=True)
+    lists = parts.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in measures],
-        F.map_from_entries(F.transform(F.array_sort(F.collect_list("_top")),
-                                       lambda x: F.struct(x[VALUE], x["n"]))).alias("top_values"),
-        F.slice(F.array_distinct(F.filter(ordered, lambda x: x != "")), 1, EXAMPLES)
-        .alias("example_values"),
+        F.array_sort(F.collect_list("_top")).alias("_top"),
+        F.array_sort(F.collect_list("_example")).alias("_example"),
+        F.map_from_entries(F.collect_list("_text")).alias("_text"),
+    )
+    whole = lambda x: F.coalesce(x[VALUE], F.element_at("_text", x[DIGEST]))
+    shown = F.transform("_example", lambda x: text.collapse(whole(x)))
+    return lists.select(
+        *keys, *measures,
+        F.map_from_entries(F.transform("_top", lambda x: F.struct(whole(x), x["n"]))).alias("top_values"),
+        F.slice(F.array_distinct(F.filter(shown, lambda x: x != "")), 1, EXAMPLES).alias("example_values"),
     )
 
 
@@ -219,20 +281,22 @@ def profile_columns(
 
     keys = keys_of(dataset)
     long = cells(df, columns, dataset=dataset, order_by=order_by)
-    hist = histogram(long, keys)
+    hist = histogram(long, keys, as_of)
     stats = measure(hist, keys, as_of)
 
     if head_rows is None:
         stats = stats.withColumns({k: F.col(v) for k, v in _INFER.items()})
         examples = example_values(hist, keys)
     else:
-        head = histogram(head_cells(long, keys, head_rows), keys)
+        head = histogram(head_cells(long, keys, head_rows), keys, as_of)
         inferred = measure(head, keys, as_of).select(
             *keys, *[F.col(v).alias(k) for k, v in _INFER.items()])
         stats = stats.join(inferred, keys, "left").na.fill(0, list(_INFER))
         examples = example_values(head, keys)
 
-    parts = _assemble(stats, top_values(hist, keys), examples, keys)
+    top = top_values(hist, keys)
+    texts = long_texts(long, keys, top.unionByName(examples), few=isinstance(dataset, str))
+    parts = _assemble(stats, top, examples, texts, keys)
 
     clean = F.col(COLUMN)
     originals = label_map({label: source for source, label in columns.items()})

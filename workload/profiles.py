@@ -113,6 +113,44 @@ def profile_table(spark, sf):
         "pii_phone", "pii_ssn")
 
 
+# The given tables as they are: whole texts, markup and numbers.
+_GIVEN = {
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "supplier": ("s_suppkey", "s_name"),
+}
+
+
+def _given_profile(name: str):
+    columns = _GIVEN[name]
+    row_id = columns[0]
+
+    def run(spark, sf):
+        rows = table(spark, sf, name).select(*columns).withColumn("row_id", F.col(row_id))
+        return profile.profile_columns(rows, dataset=name, order_by="row_id", as_of=AS_OF, exclude=("row_id",))
+
+    texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
+    view = f"WITH given AS (SELECT '{name}' AS dataset_id, {row_id} AS row_id, {texts} FROM {name}), "
+    return run, view + profile_ctes("given", columns)
+
+
+for _table in _GIVEN:
+    _run, _ctes = _given_profile(_table)
+
+    @query(f"profile_{_table}", f"""{_ctes} SELECT column_name, row_count, missing_pct, distinct_count, primitive_type,
+     semantic_hint, pii_email, pii_phone, pii_ssn, examples FROM prof""")
+    def _(spark, sf, run=_run):
+        return run(spark, sf).select(
+            _name(), "row_count", "missing_pct", "distinct_count", "primitive_type", "semantic_hint", "pii_email",
+            "pii_phone", "pii_ssn", F.nullif(F.array_join("example_values", "|"), F.lit("")).alias("examples"))
+
+    @query(f"top_values_{_table}", f"{_ctes} SELECT column_name, v AS value, n FROM ranked WHERE top_rank <= 3")
+    def _(spark, sf, run=_run):
+        return run(spark, sf).select(_name(), F.explode("top_values").alias("value", "n"))
+
+
 @query("profile_approximate")
 def _(spark, sf):
     return profile.approximate_profile(claims(spark, sf), dataset="claims", exclude=("row_id",))
