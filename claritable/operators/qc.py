@@ -110,29 +110,55 @@ def qc_columns(raw: DataFrame, cleaned: DataFrame, plan_columns: DataFrame, *, d
 KEY_ROWS = 1 << 20
 
 
-def _slots(raw: DataFrame, cleaned: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """``slots`` of the keys that have more than ``most`` rows on a side: at most one key for every ``most`` rows."""
+def _many(raw: DataFrame, cleaned: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``_rows`` of the keys that have more than ``most`` rows on a side: at most one key for every ``most`` rows."""
     counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) for df in (raw, cleaned)]
-    both = counts[0].unionAll(counts[1]).where(F.col("n") > most).groupBy(*keys).agg(F.max("n").alias("n"))
-    return materialize(both.select(*keys, F.ceil(F.col("n") / most).alias("slots")), "slots")
+    both = counts[0].unionAll(counts[1]).where(F.col("n") > most).groupBy(*keys).agg(F.max("n").alias("_rows"))
+    return materialize(both, "many")
 
 
-def _numbered(df: DataFrame, keys: list[str], order: list[str], body: Column, slots: DataFrame | None) -> DataFrame:
-    """``keys, slot, occurrence, body``: rows of a key numbered in their order.
+def _same(keys: list[str]) -> Column:
+    """Null keys are keys like any other."""
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`"))
+    return same
 
-    Rows of a key with many are dealt to slots by their order values, the same on both sides, and numbered there.
+
+def _ranged(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """``rows`` with the ``occurrence`` of each in its key, whose rows are spread over ranges of their order.
+
+    A row's number is its place in its range and the rows of its key in the ranges before. Rows alike in all are
+    told apart by the order they are read in, or copies of one row would fill a range.
     """
+    place = ["_order", "body", "_read"]
+    spread = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, *place)
+    # Written once: the bounds of ranges are drawn anew whenever they are computed.
+    spread = materialize(spread.withColumn("_range", F.spark_partition_id()), "spread")
+    own = W.partitionBy(*keys, "_range")
+    sizes = spread.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = spread.withColumn("_place", F.row_number().over(own.orderBy(*place)))
+    # A row for each range and each of its keys.
+    met = numbered.alias("x").join(F.broadcast(sizes).alias("y"), _same([*keys, "_range"]))
+    return met.select("x.*", (F.col("_place") + F.col("_before")).alias("occurrence"))
+
+
+def _numbered(df: DataFrame, keys: list[str], order: list[str], body: Column, many: DataFrame, most: int) -> DataFrame:
+    """``keys, slot, occurrence, body``: rows of a key numbered in their order; a slot is ``most`` of them."""
     placed = F.struct(*[F.col(f"`{c}`") for c in order]) if order else body
-    rows = df.select(*keys, body.alias("body"), placed.alias("_order"), F.xxhash64(placed).alias("_mark"))
-    slot = F.lit(0).cast("long")
-    if slots is not None:
-        # Null keys are keys like any other.
-        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys]
-        rows = rows.alias("x").join(F.broadcast(slots).alias("y"), same, "left").select("x.*", "slots")
-        slot = F.pmod("_mark", F.coalesce("slots", F.lit(1)))
-    rows = rows.withColumn("slot", slot)
-    number = F.row_number().over(W.partitionBy(*keys, "slot").orderBy("_order", "body"))
-    return rows.select(*keys, "slot", number.alias("occurrence"), "body")
+    rows = df.select(*keys, body.alias("body"), placed.alias("_order"))
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("_order", "body")).cast("long").alias("occurrence")
+    total = many.agg(F.sum("_rows")).first()[0]
+    if total is None:
+        rows = rows.select("*", number)
+    else:
+        rows = materialize(rows.alias("x").join(F.broadcast(many).alias("y"), _same(keys), "left").select("x.*", "_rows"), "sides")
+        few, hot = rows.where("_rows IS NULL").drop("_rows"), rows.where("_rows IS NOT NULL").drop("_rows")
+        numbers = _ranged(hot, keys, 1 + total // most)
+        rows = few.select("*", number).unionByName(numbers.select(*few.columns, "occurrence"))
+    return rows.select(*keys, F.floor((F.col("occurrence") - 1) / most).alias("slot"), "occurrence", "body")
 
 
 def row_changes(raw: DataFrame, cleaned: DataFrame, key: str | list[str], order_by: str | None = None, *,
@@ -142,8 +168,8 @@ def row_changes(raw: DataFrame, cleaned: DataFrame, key: str | list[str], order_
     Rows are matched by key and ``occurrence``: the rows of a key are numbered on both sides in the order of
     ``order_by``, a column that cleaning keeps, or of their text without one, and the k-th meets the k-th. So a
     repeated key multiplies no rows, and rows of one side only are those that its key has more of. A table without a
-    key is matched by its row number as key. Rows of a key are numbered up to ``key_rows`` together; a key with more is
-    dealt to slots by the order value, so rows meet within their slot, and occurrences count within it (``slot``).
+    key is matched by its row number as key. Rows of a key are numbered up to ``key_rows`` in one task; a key with more
+    is numbered over many, in ranges of its order, with the same numbers. ``slot`` counts each ``key_rows`` of them.
     ``unique=True`` says that keys do not repeat and saves the numbering. Null keys are matched like others.
     """
     keys = [key] if isinstance(key, str) else list(key)
@@ -156,12 +182,11 @@ def row_changes(raw: DataFrame, cleaned: DataFrame, key: str | list[str], order_
         return F.struct(*[(as_text(df, c) if c in df.columns else null).alias(c) for c in shared])
 
     if unique:
-        sides = [df.select(*keys, F.lit(0).cast("long").alias("slot"), F.lit(1).alias("occurrence"), row(df).alias("body"))
+        sides = [df.select(*keys, F.lit(0).cast("long").alias("slot"), F.lit(1).cast("long").alias("occurrence"), row(df).alias("body"))
                  for df in (raw, cleaned)]
     else:
-        slots = _slots(raw, cleaned, keys, key_rows)
-        slots = None if slots.isEmpty() else slots
-        sides = [_numbered(df, keys, order, row(df), slots) for df in (raw, cleaned)]
+        many = _many(raw, cleaned, keys, key_rows)
+        sides = [_numbered(df, keys, order, row(df), many, key_rows) for df in (raw, cleaned)]
     met = [*keys, "slot", "occurrence"]
     left, right = (side.select(F.struct(*met).alias("k"), F.col("body").alias(name))
                    for side, name in zip(sides, "ba"))

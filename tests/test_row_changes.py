@@ -83,3 +83,15 @@ def test_empty_tables(spark):
     assert qc.row_changes(none, none, "key").collect() == []
     assert [r["note"] for r in qc.row_changes(none, frame(spark, [("k", 1, 1, "a", "b")]), "key", "at").collect()] == [
         "Only in the cleaned table."]
+
+
+def test_a_key_with_many_rows_is_numbered_as_a_whole(spark):
+    raw = rows_of(5, 60, hot=300) + [("hot", 0, 10_400, "x", "p")] * 90
+    cleaned = [(*row[:3], "changed" if row[2] % 7 == 0 else row[3], row[4]) for row in raw if row[2] != 10_007]
+    got = qc.row_changes(frame(spark, raw), frame(spark, cleaned), ["key", "part"], "at", key_rows=25)
+    assert found(got) == expected(raw, cleaned)
+    # Null keys with many rows, and no order.
+    raw = [(None, k % 2, 0, str(k), None) for k in range(120)]
+    sides = [frame(spark, side).drop("at") for side in (raw, raw[2:])]
+    notes = [r["note"] for r in qc.row_changes(*sides, ["key", "part"], key_rows=25).collect()]
+    assert len(notes) == 120 and sum(n is not None for n in notes) == 2
