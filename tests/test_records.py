@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from claritable.sources import records, tables
+from workload import files
+from workload.registry import QUERIES
 
 
 def rows_of(frame):
@@ -100,3 +104,21 @@ def test_rows_are_counted_by_record(spark, tmp_path, ranges):
     found = tables.rows_per_file(spark, str(tmp_path), "csv").collect()
     assert sorted((r["file"][-5:], r["row_estimate"]) for r in found) == [("a.csv", 2), ("b.csv", 0)]
     assert tables.row_count(spark, str(tmp_path), "csv") == 2
+
+
+def test_registered_ranges_grow_with_the_files_and_no_task_writes_all(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" in the end, "), F.lit(6000))).alias("text"),
+        F.lit("en").alias("lang"))
+    rows.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    one_file_a_task = spark.newSession()
+    one_file_a_task.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    session, path = files._in_ranges(one_file_a_task, str(tmp_path))
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 4
+    read = session.read.text(path).rdd.getNumPartitions()
+    assert 100 < read <= files.MOST_RANGES + 4
+    found = QUERIES["csv_ranges"](one_file_a_task, str(tmp_path))
+    text = F.md5(F.concat(F.lit('"'), F.replace("text", F.lit(" the "), F.lit('\n"the",\n')), F.lit('"')))
+    want = rows.select(F.col("doc_id").cast("string"), text.alias("t"))
+    assert sorted((r[0], r[2]) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
+    assert QUERIES["row_count_ranges"](one_file_a_task, str(tmp_path)).first()[0] == 400

@@ -40,15 +40,20 @@ def _(spark, sf):
     return tables.read_table(spark, path)
 
 
+#: Ranges are of 64 kB, or of a size that gives no more than this many over all files.
+MOST_RANGES = 256
+
+
 def _in_ranges(spark, sf):
-    """The documents, quotes and line breaks in their cells, as one file, and a session that reads it in ranges of 64 kB."""
+    """The documents, quotes and line breaks in their cells, as a file of each task, and a session that reads these in ranges."""
     path = f"{new_path(spark, 'ranges')}.csv"
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string"), F.concat(F.lit('"'), F.replace("text", F.lit(" the "), F.lit('\n"the",\n')), F.lit('"'))
         .alias("text"), "lang")
-    tables.write_table(docs.coalesce(1), path)
+    tables.write_table(docs, path)
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     session = spark.newSession()
-    session.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(max(64 << 10, -(-size // MOST_RANGES))))
     session.conf.set("spark.sql.files.openCostInBytes", "0")
     return session, path
 
