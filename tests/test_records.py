@@ -122,3 +122,14 @@ def test_registered_ranges_grow_with_the_files_and_no_task_writes_all(spark, tmp
     want = rows.select(F.col("doc_id").cast("string"), text.alias("t"))
     assert sorted((r[0], r[2]) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
     assert QUERIES["row_count_ranges"](one_file_a_task, str(tmp_path)).first()[0] == 400
+
+
+def test_row_estimate_writes_long_cells_in_all_tasks(spark, tmp_path, monkeypatch):
+    for name in ("documents", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
+    session, write, parts = spark.newSession(), tables.write_table, []
+    session.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    monkeypatch.setattr(tables, "write_table", lambda df, path: (parts.append(df.rdd.getNumPartitions()), write(df, path)))
+    rows = {r["format"]: r["rows"] for r in QUERIES["row_estimate"](session, str(tmp_path)).collect()}
+    documents, items = (spark.read.parquet(f"{tmp_path}/{t}.parquet").count() for t in ("documents", "lineitem"))
+    assert rows == {"csv": items, "jsonl": items, "parquet": items, "long": documents} and parts == [4, 4, 4]

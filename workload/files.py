@@ -121,7 +121,7 @@ def _(spark, sf):
 
 _ESTIMATED = {
     "csv": "lineitem", "jsonl": "lineitem",
-    # Long cells and few rows: each line is one document, its line breaks written as spaces.
+    # Long cells and few rows: each line is one document, its line breaks written as spaces; a file of each task.
     "long": "documents",
 }
 
@@ -132,7 +132,7 @@ def _(spark, sf):
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
     docs = table(spark, sf, "documents").select("doc_id", F.repeat(F.regexp_replace("text", r"\s+", " "), F.lit(6)).alias("text"))
     out = table(spark, sf, "lineitem").agg(F.lit("parquet").alias("format"), F.count(F.lit(1)).alias("rows"))
-    for name, rows, fmt in (("csv", items, "csv"), ("jsonl", items, "jsonl"), ("long", docs.coalesce(1), "csv")):
+    for name, rows, fmt in (("csv", items, "csv"), ("jsonl", items, "jsonl"), ("long", docs, "csv")):
         path = f"{new_path(spark, 'estimate')}.{fmt}"
         tables.write_table(rows, path)
         counted = tables.rows_per_file(spark, path)
