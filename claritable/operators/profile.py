@@ -32,6 +32,7 @@ from claritable.operators.cells import (
     label_map,
     with_dataset,
 )
+from claritable.sources.scratch import materialize
 
 EXAMPLES = 5
 EXAMPLE_WINDOW = 50
@@ -190,15 +191,26 @@ def _assemble(stats: DataFrame, top: DataFrame, examples: DataFrame, texts: Data
 
 
 def head_cells(long: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """The first ``rows`` non-missing cells of every column, in row order."""
+    """The first ``rows`` non-missing cells of every column, in row order.
+
+    Rows are dealt to more buckets than ``rows`` by their key. The first filled rows of the buckets are different rows, so
+    the cells wanted do not lie behind the ``rows``-th of these; only the few cells up to it are sorted. A column with
+    filled rows in fewer buckets has few of them, and keeps all.
+    """
+    filled = long.withColumn(VALUE, text.normalize_missing(F.col(VALUE))).filter(F.col(VALUE).isNotNull())
+    bucket = F.pmod(F.xxhash64(ROW), F.lit(2 * rows)).alias("_bucket")
+    firsts = filled.groupBy(*keys, bucket).agg(F.min(ROW).alias("_last"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("_last"))
+    # Written, so that Spark knows how small it is: at most one row for each column.
+    last = materialize(firsts.withColumn("_place", place).filter(F.col("_place") == rows).drop("_place", "_bucket"), "lasts")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    near = filled.alias("x").join(last.alias("y"), same, "left").select("x.*", "_last").filter(
+        F.col("_last").isNull() | (F.col(ROW) <= F.col("_last"))).drop("_last")
     order = W.partitionBy(*keys).orderBy(ROW)
-    return (
-        long.withColumn(VALUE, text.normalize_missing(F.col(VALUE)))
-        .filter(F.col(VALUE).isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= rows)
-        .drop("rank")
-    )
+    first = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).drop("rank")
+    return materialize(first, "heads")
 
 
 def primitive_type() -> Column:
