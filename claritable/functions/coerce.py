@@ -36,6 +36,9 @@ _COMPACT_TIME = r"^\s*(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])[T ](\d{2})(\d{
 _MONTH = r"^\s*((?:19|20)\d{2})-(0[1-9]|1[0-2])\s*$"
 _EVERYDAY = r"(?i)[ap]\.?m\.?\s*$|^\s*[mtwfs][a-z]{2,8}[.,]*\s|^\s*\d{8}[T ]\d{6}Z?\s*$|^\s*\d{4}-\d{2}\s*$"
 
+# The usual forms, which are no everyday ones: one look settles them.
+_USUAL = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[T ][\d:.Z+-]*)?$"
+
 
 # Letters the double parser would read as a suffix, an infinity, a NaN or a hex digit.
 _NOT_DECIMAL = "dDfFiInNxXpP"
@@ -105,7 +108,7 @@ def timestamp(c: Column, as_of: dt.date) -> Column:
     half days.  ``yyyy-MM`` is the first of its month; bare years, postal codes and clock
     times are not dates.
     """
-    c = F.when(c.rlike(_EVERYDAY), _plain(c)).otherwise(c)
+    c = F.when(~c.rlike(_USUAL) & c.rlike(_EVERYDAY), _plain(c)).otherwise(c)
     numeric = _four_digit_year(c, rf"\s*\d{{1,2}}{_SEP}\d{{1,2}}{_SEP}", as_of)
     numeric = F.regexp_replace(
         numeric, rf"^\s*(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}){_TIME}", "$3-$2-$1$4")

@@ -91,20 +91,25 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D+", "")
 
 
+def _filled(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
 def normalize_phone(c: Column) -> Column:
-    return first_match(digits(c), r"(\d{1,10})$")
+    return _filled(F.right(digits(c), F.lit(10)))
 
 
 def normalize_postal(c: Column) -> Column:
-    return first_match(digits(c), r"^(\d{1,5})")
+    return _filled(F.left(digits(c), F.lit(5)))
 
 
 def normalize_ndc(c: Column) -> Column:
-    return first_match(F.regexp_replace(digits(c), r"^(\d{10})$", "0$1"), r"^(\d+)$")
+    d = digits(c)
+    return F.when(F.length(d) == 10, F.concat(F.lit("0"), d)).otherwise(_filled(d))
 
 
 def normalize_rxnorm(c: Column) -> Column:
-    return first_match(digits(c), r"^(\d+)$")
+    return _filled(digits(c))
 
 
 def compact_code(c: Column) -> Column:

@@ -223,11 +223,14 @@ class CleaningPlan:
     # --- applying -----------------------------------------------------------
     def project(self, df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         """Rename, normalize, coerce and drop empty columns; no shuffle."""
-        # Missing values are settled in a projection of their own: the cells read the
-        # result many times, and Spark keeps the two apart instead of repeating it.
-        own = [F.col(k) for k in keys]
+        # Missing values are settled in a projection of their own, and typed readings in another: the cells read
+        # the results many times, and Spark keeps them apart instead of repeating them.
+        own, typed = [F.col(k) for k in keys], [c for c in self.kept() if c.target != STRING]
         raw = df.select(*own, *[c.spec.raw(df, self.options).alias(f"r:{c.name}") for c in self.kept()])
-        return raw.select(*own, *[self.cell(c, F.col(f"`r:{c.name}`")).alias(c.name) for c in self.kept()])
+        raw = raw.select("*", *[read_typed(c.primitive, F.col(f"`r:{c.name}`"), self.options.as_of)
+                                .alias(f"p:{c.name}") for c in typed])
+        parsed = lambda c: F.col(f"`p:{c.name}`") if c in typed else None
+        return raw.select(*own, *[self.cell(c, F.col(f"`r:{c.name}`"), parsed(c)).alias(c.name) for c in self.kept()])
 
     def cell(self, column: ColumnPlan, raw: Column, parsed: Column | None = None) -> Column:
         return column.spec.cell(raw, self.options, typed=column.target != STRING,
