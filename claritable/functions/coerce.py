@@ -7,6 +7,7 @@ expressions measure a column (``count(number(c))``) and rewrite it.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ _COMPACT_TIME = r"^\s*(\d{4})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])[T ](\d{2})(\d{
 _MONTH = r"^\s*((?:19|20)\d{2})-(0[1-9]|1[0-2])\s*$"
 _EVERYDAY = r"(?i)[ap]\.?m\.?\s*$|^\s*[mtwfs][a-z]{2,8}[.,]*\s|^\s*\d{8}[T ]\d{6}Z?\s*$|^\s*\d{4}-\d{2}\s*$"
 
-# The usual forms, which are no everyday ones: one look settles them.
-_USUAL = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[T ][\d:.Z+-]*)?$"
+# The usual forms, which need one step at most: as Spark reads it, with other separators, and month first.
+_USUAL_ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ][\d:.Z+-]*)?\z"
+_USUAL_YEAR_FIRST = r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}\z"
+_USUAL_MONTH_FIRST = rf"^(0?[1-9]|1[0-2]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}})\z"
 
 
 # Letters the double parser would read as a suffix, an infinity, a NaN or a hex digit.
@@ -68,7 +71,9 @@ def number_to_text(n: Column) -> Column:
     """Shortest plain text of a double: ``900``, ``1200.5``, ``12345678901``."""
     plain = F.regexp_replace(n.cast("string"), r"\.0$", "")
     wide = F.regexp_replace(n.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-    return F.when(F.abs(n).between(1e7, 1e27), wide).otherwise(plain)
+    whole = (F.abs(n) < 1e7) & (n == F.rint(n)) & (n != 0)
+    return (F.when(whole, n.cast("bigint").cast("string"))
+            .when(F.abs(n).between(1e7, 1e27), wide).otherwise(plain))
 
 
 def boolean(c: Column) -> Column:
@@ -108,7 +113,23 @@ def timestamp(c: Column, as_of: dt.date) -> Column:
     half days.  ``yyyy-MM`` is the first of its month; bare years, postal codes and clock
     times are not dates.
     """
-    c = F.when(~c.rlike(_USUAL) & c.rlike(_EVERYDAY), _plain(c)).otherwise(c)
+    # The first three settle most dates by one look and one step; what has no digit is no date.
+    canonical = (
+        F.when(c.rlike(_USUAL_ISO), c)
+        .when(c.rlike(_USUAL_MONTH_FIRST), F.regexp_replace(c, _USUAL_MONTH_FIRST, "$3-$1-$2"))
+        .when(c.rlike(_USUAL_YEAR_FIRST), F.translate(c, "/.", "--"))
+        .when(c.rlike(r"\d"), _once(F.when(c.rlike(_EVERYDAY), _plain(c)).otherwise(c), lambda x: _canonical(x, as_of)))
+    )
+    return canonical.try_cast("timestamp")
+
+
+def _once(c: Column, read: Callable[[Column], Column]) -> Column:
+    """``read(c)`` with ``c`` computed once: copies of a long expression would outgrow what Spark compiles."""
+    return F.transform(F.array(c), read)[0]
+
+
+def _canonical(c: Column, as_of: dt.date) -> Column:
+    """Any of the forms but the everyday ones with its year first; NULL for other text."""
     numeric = _four_digit_year(c, rf"\s*\d{{1,2}}{_SEP}\d{{1,2}}{_SEP}", as_of)
     numeric = F.regexp_replace(
         numeric, rf"^\s*(1[3-9]|2\d|3[01]){_SEP}(\d{{1,2}}){_SEP}(\d{{4}}){_TIME}", "$3-$2-$1$4")
@@ -124,19 +145,21 @@ def timestamp(c: Column, as_of: dt.date) -> Column:
         named, rf"(?i)^\s*(\d{{1,2}})[- ]{_MONTH_NAME}\.?[-, ]+(\d{{4}}){_TIME}", "$2-#-$1$3")
     named = F.replace(named, F.lit("#"), _month_number(c))
 
-    canonical = (
+    return (
         F.when(c.rlike(_ISO), c)
         .when(c.rlike(_YEAR_LAST), numeric)
         .when(c.rlike(_YEAR_FIRST), F.regexp_replace(c, _YEAR_FIRST, "$1-$2-$3$4"))
         .when(c.rlike(_NAMED), named)
         .when(c.rlike(_COMPACT), F.regexp_replace(c, _COMPACT, "$1-$2-$3"))
     )
-    return canonical.try_cast("timestamp")
 
 
 def _plain(c: Column) -> Column:
     """Everyday forms without weekday and half-day clock, and with all parts apart."""
-    day = F.regexp_replace(c, _WEEKDAY, "")
+    return _once(F.regexp_replace(c, _WEEKDAY, ""), _plain_day)
+
+
+def _plain_day(day: Column) -> Column:
     part = lambda k: F.regexp_extract(day, _HALF_DAY, k)
     hour = part(2).cast("int") % 12 + F.when(F.lower(part(4)) == "p", 12).otherwise(0)
     return (F.when(day.rlike(_HALF_DAY), F.concat(

@@ -15,6 +15,8 @@ SSN = "(?U)" + rules.SSN
 
 # What every phone and SSN holds; one search spares most text the two patterns.
 _DIGITS = r"(?U)\d{3}[-.\s]?\d{2}"
+# Bytes of the shortest of each.
+_PHONE_BYTES, _SSN_BYTES = 10, 9
 
 
 def has_email(c: Column) -> Column:
@@ -23,11 +25,11 @@ def has_email(c: Column) -> Column:
 
 
 def has_phone(c: Column) -> Column:
-    return c.rlike(_DIGITS) & c.rlike(PHONE)
+    return (F.octet_length(c) >= _PHONE_BYTES) & c.rlike(_DIGITS) & c.rlike(PHONE)
 
 
 def has_ssn(c: Column) -> Column:
-    return c.rlike(_DIGITS) & c.rlike(SSN)
+    return (F.octet_length(c) >= _SSN_BYTES) & c.rlike(_DIGITS) & c.rlike(SSN)
 
 
 def is_zip(c: Column) -> Column:

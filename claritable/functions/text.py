@@ -18,16 +18,45 @@ from claritable import rules
 _SPACES = r"(?U)\s+"
 _EDGES = r"(?U)^\s+|\s+$"
 _LETTER_RUNS = r"\p{L}+|[^\p{L}]+"
-_CONTROL_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+# Words of printable ASCII with one space between them: nothing to collapse or to trim.
+_TIDY = r"^[!-~]++(?: [!-~]++)*+\z"
+# Anything but printable ASCII and spaces.
+_ODD = r"[^ -~]"
+
+
+def _starts_printable(c: Column) -> Column:
+    """True where the first character is printable ASCII; texts compare by their bytes."""
+    return (c >= F.lit("!")) & (c < F.lit("\x7f"))
+
+
+def _bare(c: Column) -> Column:
+    """True where the first and the last character are printable ASCII, so that trimming changes nothing."""
+    last = F.substring(c.cast("binary"), -1, 1)
+    return _starts_printable(c) & (last >= F.lit(b"!")) & (last < F.lit(b"\x7f"))
+
+
+def has_text(c: Column) -> Column:
+    """True where some character is no space."""
+    return _starts_printable(c) | c.rlike(r"(?U)\S")
 
 
 def is_token(c: Column, tokens: Iterable[str]) -> Column:
     """True where ``c``, trimmed and in lower case, is one of the tokens.
 
-    Most cells are settled by comparing a short trimmed string.  The pattern, which also
-    knows tabs, line breaks and Unicode spaces, only sees cells with an unusual edge.
+    Most cells have printable edges and are settled by their length, or by comparing a short string.
     """
     tokens = list(tokens)
+    longest = max(map(len, tokens))
+    # A character has up to four bytes; the lengths keep long cells from being copied.
+    short = (F.octet_length(c) <= 4 * longest) & (F.length(c) <= longest)
+    return F.when(_bare(c), short & F.lower(c).isin(tokens)).otherwise(_is_padded(c, tokens))
+
+
+def _is_padded(c: Column, tokens: list[str]) -> Column:
+    """:func:`is_token` for any cell.
+
+    The pattern, which also knows tabs, line breaks and Unicode spaces, only sees cells with an unusual edge.
+    """
     trimmed = F.trim(c)
     plain = (F.length(trimmed) <= max(map(len, tokens))) & F.lower(trimmed).isin(tokens)
     printable = lambda ch: F.ascii(ch).between(33, 126)
@@ -57,11 +86,9 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Whitespace runs become one space, edges are trimmed."""
-    # Plain text with single spaces, the common case, is recognised by byte searches.
-    irregular = (F.octet_length(c) != F.length(c)) | F.contains(c, F.lit("  "))
-    for space in _CONTROL_SPACES:
-        irregular = irregular | F.contains(c, F.lit(space))
-    return F.trim(F.when(irregular, F.regexp_replace(c, _SPACES, " ")).otherwise(c))
+    # Plain text with single spaces, the common case, is recognised by one look.
+    spaces = F.when(c.rlike(_ODD), F.regexp_replace(c, _SPACES, " ")).otherwise(F.regexp_replace(c, "  +", " "))
+    return F.when(c.rlike(_TIDY), c).otherwise(F.trim(spaces))
 
 
 def title_case(c: Column) -> Column:
@@ -121,9 +148,10 @@ def normalize_gender(c: Column) -> Column:
     by_label: dict[str, list[str]] = {}
     for spelling, label in rules.GENDER_VALUES.items():
         by_label.setdefault(label, []).append(spelling)
-    chain = F
+    labels = F.create_map(*[F.lit(x) for pair in rules.GENDER_VALUES.items() for x in pair])
+    chain = F.when(_bare(c), F.coalesce(labels[F.lower(c)], c))
     for label, spellings in by_label.items():
-        chain = chain.when(is_token(c, spellings), F.lit(label))
+        chain = chain.when(_is_padded(c, spellings), F.lit(label))
     return chain.otherwise(c)
 
 
