@@ -14,6 +14,8 @@ from claritable.operators.cells import COLUMN, DATASET, VALUE, as_text, cells, k
 from claritable.sources.scratch import materialize
 
 _TEXT = (T.StringType, T.ArrayType, T.StructType, T.MapType)
+#: Types whose cells are missing by their text, or have no text that is a missing token.
+_SAME_TEXT = (*_TEXT, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def is_text(df: DataFrame, name: str) -> bool:
@@ -60,7 +62,7 @@ def column_metrics(df: DataFrame, *, dataset: str | Column = "dataset",
         F.count(F.lit(1)).alias("row_count"),
         F.count(value).alias("non_null"),
         F.count_if(missing).alias("missing"),
-        F.count_if(textual & value.rlike(r"(?U)\S")).alias("non_blank"),
+        F.count_if(textual & text.has_text(value)).alias("non_blank"),
         F.sum(F.when(textual, F.length(value))).alias("total_length"),
         F.count_if(open_text & pii.has_email(value)).alias("pii_email"),
         F.count_if(open_text & pii.has_phone(value)).alias("pii_phone"),
@@ -90,16 +92,36 @@ def row_accounting(raw: DataFrame, cleaned: DataFrame, plan_columns: DataFrame,
     )
 
 
+def missing_at_fit(raw: DataFrame, plan_columns: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame | None:
+    """``missing_percent`` of ``raw`` from the counts of the fit, which saves another pass.
+
+    For a plan that takes missing tokens as missing. None where the table has columns whose text the fit reads
+    otherwise than :func:`missing_percent`.
+    """
+    if not all(isinstance(f.dataType, _SAME_TEXT) for f in raw.schema.fields if f.name not in exclude):
+        return None
+    missing = F.col("row_count") - F.col("non_null")
+    return plan_columns.select(DATASET, COLUMN, "row_count", missing.alias("missing"),
+                               percent(missing, F.col("row_count")).alias("missing_pct"))
+
+
 def qc_columns(raw: DataFrame, cleaned: DataFrame, plan_columns: DataFrame, *, dataset: str,
-               exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Missing percentage before and after, and invalid values, per column."""
+               exclude: tuple[str, ...] = (), before: DataFrame | None = None,
+               after: DataFrame | None = None) -> DataFrame:
+    """Missing percentage before and after, and invalid values, per column.
+
+    ``before`` and ``after`` are ``missing_percent``, ``missing_at_fit`` or ``column_metrics`` of a side that was
+    measured already.
+    """
     clean_names = dict(zip([c for c in raw.columns if c not in exclude],
                            names.standardize([c for c in raw.columns if c not in exclude])))
     renamed = raw.select(*[F.col(f"`{a}`").alias(b) for a, b in clean_names.items()])
-    side = lambda df, skip: missing_percent(df, dataset=dataset, exclude=skip).select(
-        DATASET, COLUMN, "missing_pct")
-    before = side(renamed, ()).withColumnRenamed("missing_pct", "missing_pct_raw")
-    after = side(cleaned, exclude).withColumnRenamed("missing_pct", "missing_pct_cleaned")
+    if before is None:
+        before = missing_percent(renamed, dataset=dataset)
+    if after is None:
+        after = missing_percent(cleaned, dataset=dataset, exclude=exclude)
+    before = before.select(DATASET, COLUMN, F.col("missing_pct").alias("missing_pct_raw"))
+    after = after.select(DATASET, COLUMN, F.col("missing_pct").alias("missing_pct_cleaned"))
     return (
         before.join(after, [DATASET, COLUMN], "full_outer")
         .join(plan_columns.select(DATASET, COLUMN, "invalid"), [DATASET, COLUMN], "left")

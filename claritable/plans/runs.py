@@ -64,10 +64,24 @@ def invalid_totals(plan_columns: DataFrame) -> DataFrame:
         F.sum("invalid").alias("invalid_total"), F.count("invalid").alias("tracked_columns"))
 
 
+def duplicates_left(plan: CleaningPlan, cleaned: DataFrame, exclude: tuple[str, ...] = (),
+                    dataset: str = "dataset") -> DataFrame:
+    """``duplicate_rate`` of a cleaned table; not counted where rows were just made distinct and no mask merged them since."""
+    private = plan.options.deidentify or plan.options.privacy == "safe_harbor"
+    if plan.options.remove_duplicates and not private:
+        found = cleaned.limit(0).agg(F.lit(0.0).alias("duplicate_rate"))
+    else:
+        found = dedup.duplicate_rate(cleaned, columns=[c for c in cleaned.columns if c not in exclude])
+    return found.withColumn(DATASET, F.lit(dataset))
+
+
 def clean_run(df: DataFrame, *, dataset: str = "dataset", row_key: str | None = None,
               options: CleanOptions, hints=None, before: DataFrame | None = None,
               exclude: tuple[str, ...] = (), validate_stage: str = "pre_privacy") -> CleanRun:
-    """Fit, clean, write once, then measure the written rows.
+    """Fit, clean, write once, then measure the written rows once for all reports.
+
+    What the raw rows were missing is known from the fit. Reports are written too, so that those who read them do not
+    measure again.
 
     ``exclude`` names columns that are no data, such as a row number; they are left out,
     while ``row_key`` is kept and breaks ties between repeated rows.
@@ -85,23 +99,18 @@ def clean_run(df: DataFrame, *, dataset: str = "dataset", row_key: str | None =
         rows = dedup.drop_duplicates(rows, keep_first=row_key)
     rows = materialize(rows, "projected")
     table = plan.privatize(rows, keys)
-    private = plan.options.deidentify or plan.options.privacy == "safe_harbor"
 
     plan_columns = plan.conversion(spark)
     subject = table if validate_stage == "post_privacy" else rows
     empty = validate.rule_counts(subject, plan.hints, plan.options.as_of, dataset=dataset,
                                  exclude=exclude, only=() if not plan.options.validates else None)
-    issues = validate.with_severity(empty.filter(F.col("count") > 0))
-    report = qc.qc_columns(df, table, plan_columns, dataset=dataset, exclude=exclude)
+    issues = materialize(validate.with_severity(empty.filter(F.col("count") > 0)), "issues")
+    metrics = materialize(qc.column_metrics(table, dataset=dataset, exclude=exclude), "metrics")
+    before_clean = qc.missing_at_fit(df, plan_columns, exclude) if plan.options.normalize_missing else None
+    report = materialize(qc.qc_columns(df, table, plan_columns, dataset=dataset, exclude=exclude,
+                                       before=before_clean, after=metrics), "report")
     accounting = qc.row_accounting(df, rows, plan_columns, dataset)
-    compared = [c for c in table.columns if c not in exclude]
-    if plan.options.remove_duplicates and not private:
-        # Rows were just made distinct and nothing has merged them since.
-        repeated = rows.limit(0).agg(F.lit(0.0).alias("duplicate_rate"))
-    else:
-        repeated = dedup.duplicate_rate(table, columns=compared)
-    repeated = repeated.withColumn(DATASET, F.lit(dataset))
-    metrics = qc.column_metrics(table, dataset=dataset, exclude=exclude)
+    repeated = duplicates_left(plan, table, exclude, dataset)
     checks = readiness.data_checks(metrics, repeated, invalid_totals(plan_columns), plan.options.privacy)
     checks = materialize(checks, "checks")
     score = readiness.readiness_score(checks)

@@ -8,7 +8,7 @@ from claritable import rules
 from claritable.operators import dedup, outcomes, profile, qc, readiness, validate
 from claritable.operators.cells import COLUMN, DATASET
 from claritable.options import CleanOptions
-from claritable.plans.runs import clean_run, invalid_totals, precheck
+from claritable.plans.runs import clean_run, duplicates_left, invalid_totals, precheck
 from claritable.sources.scratch import materialize
 from workload import sql
 from workload.cleaning import (
@@ -161,8 +161,9 @@ qc AS (SELECT column_name, r.pct AS missing_pct_raw, c.pct AS missing_pct_cleane
 @query("qc_missing_before_after", f"{_CLEANED}, {_QC} SELECT * FROM qc")
 def _(spark, sf):
     plan, raw = claims_plan(spark, sf), claims(spark, sf)
-    return qc.qc_columns(raw, plan.clean(raw, "row_id"), plan.conversion(spark), dataset="claims",
-                         exclude=("row_id",)).drop(DATASET)
+    report = plan.conversion(spark)
+    return qc.qc_columns(raw, plan.clean(raw, "row_id"), report, dataset="claims", exclude=("row_id",),
+                         before=qc.missing_at_fit(raw, report, ("row_id",))).drop(DATASET)
 
 
 def _changes(cut: str = "") -> str:
@@ -272,9 +273,9 @@ def claims_checks(spark, sf):
     plan = claims_plan(spark, sf)
     # Cleaned and deduplicated once; what follows measures the written rows.
     cleaned = materialize(plan.clean(claims(spark, sf)), "claims")
-    repeated = dedup.duplicate_rate(cleaned).withColumn(DATASET, F.lit("claims"))
-    return materialize(readiness.data_checks(qc.column_metrics(cleaned, dataset="claims"), repeated,
-                                             invalid_totals(plan.conversion(spark))), "checks")
+    return materialize(readiness.data_checks(
+        qc.column_metrics(cleaned, dataset="claims"), duplicates_left(plan, cleaned, dataset="claims"),
+        invalid_totals(plan.conversion(spark))), "checks")
 
 
 @query("readiness_data", f"{_CLEANED}, {_AFTER} SELECT check_id, status, metric FROM after_checks")
