@@ -51,16 +51,22 @@ def _parse(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def _ends_like_number(c: Column) -> Column:
+    """True for every text that reads as a number: none ends in a letter. What is spared is the exception of a failed cast."""
+    return F.substring(c.cast("binary"), -1, 1) <= F.lit(b"9")
+
+
 def number(c: Column) -> Column:
     """A number with ``, $ %`` removed and ``(x)`` read as ``-x``."""
     bare = F.translate(c, _NOT_DECIMAL + ",$%", "#" * len(_NOT_DECIMAL))
-    return _parse(F.when(F.contains(c, F.lit("(")), F.regexp_replace(bare, r"\(([^)]+)\)", "-$1"))
+    return _parse(F.when(~_ends_like_number(c), None)
+                  .when(F.contains(c, F.lit("(")), F.regexp_replace(bare, r"\(([^)]+)\)", "-$1"))
                   .otherwise(bare))
 
 
 def plain_number(c: Column) -> Column:
     """A number as written, without removing currency signs or separators."""
-    return _parse(F.translate(c, _NOT_DECIMAL, "#" * len(_NOT_DECIMAL)))
+    return _parse(F.when(_ends_like_number(c), F.translate(c, _NOT_DECIMAL, "#" * len(_NOT_DECIMAL))))
 
 
 def looks_numeric(c: Column) -> Column:
@@ -69,7 +75,8 @@ def looks_numeric(c: Column) -> Column:
 
 def number_to_text(n: Column) -> Column:
     """Shortest plain text of a double: ``900``, ``1200.5``, ``12345678901``."""
-    plain = F.regexp_replace(n.cast("string"), r"\.0$", "")
+    # Of the doubles that are written plainly only zero ends in ".0".
+    plain = F.when(n == 0, F.regexp_replace(n.cast("string"), r"\.0$", "")).otherwise(n.cast("string"))
     wide = F.regexp_replace(n.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
     whole = (F.abs(n) < 1e7) & (n == F.rint(n)) & (n != 0)
     return (F.when(whole, n.cast("bigint").cast("string"))

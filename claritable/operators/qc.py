@@ -58,15 +58,19 @@ def column_metrics(df: DataFrame, *, dataset: str | Column = "dataset",
     scanned = [c for c in texts if not names.contains_any(c, rules.PII_NAME_TOKENS)]
     value, textual, open_text = F.col(VALUE), _in_columns(texts), _in_columns(scanned)
     missing = value.isNull() | (textual & text.is_missing_token(value))
-    counted = cells(df, columns, dataset=dataset, with_row=False).groupBy(*keys_of(dataset)).agg(
+    # The look for digits is a column, which both counts read.
+    digits = F.col("_digits")
+    looked = cells(df, columns, dataset=dataset, with_row=False).withColumn(
+        "_digits", open_text & pii.may_have_number(value))
+    counted = looked.groupBy(*keys_of(dataset)).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count(value).alias("non_null"),
         F.count_if(missing).alias("missing"),
         F.count_if(textual & text.has_text(value)).alias("non_blank"),
         F.sum(F.when(textual, F.length(value))).alias("total_length"),
         F.count_if(open_text & pii.has_email(value)).alias("pii_email"),
-        F.count_if(open_text & pii.has_phone(value)).alias("pii_phone"),
-        F.count_if(open_text & pii.has_ssn(value)).alias("pii_ssn"),
+        F.count_if(digits & value.rlike(pii.PHONE)).alias("pii_phone"),
+        F.count_if(digits & value.rlike(pii.SSN)).alias("pii_ssn"),
     )
     position = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col(COLUMN)) - 1
     return with_dataset(counted, dataset).withColumns({

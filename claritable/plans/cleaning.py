@@ -21,6 +21,7 @@ from claritable.operators import dedup, privacy
 from claritable.operators.cells import COLUMN, DATASET, as_text
 from claritable.operators.profile import profile_columns
 from claritable.options import CleanOptions
+from claritable.sources.scratch import materialize
 
 NUMBER, DATE, BOOLEAN, STRING = "number", "date", "boolean", "string"
 _PRIMITIVES = {"integer": NUMBER, "float": NUMBER, "number": NUMBER, "date": DATE,
@@ -140,14 +141,29 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
 
     A single aggregate over one scan; every column adds two to four counts.
     """
-    counts, entries = [], []
+    counts = []
     raws = df.select(*[spec.raw(df, options).alias(f"r{spec.position}") for spec in specs])
+    for spec in specs:
+        key, raw = spec.position, F.col(f"r{spec.position}")
+        typed, narrowing = spec.primitive != STRING, bool(spec.digit_steps(options))
+        counts.append(F.count(raw).alias(f"n{key}"))
+        if narrowing:
+            counts.append(F.count(spec.cell(raw, options, typed=False, keep_invalid=False)).alias(f"t{key}"))
+        if typed:
+            counts.append(F.count(read_typed(spec.primitive, raw, options.as_of)).alias(f"p{key}"))
+        if typed and narrowing:
+            keep = spec.mode(options) == "safe"
+            counts.append(F.count(spec.cell(raw, options, typed=True, keep_invalid=keep)).alias(f"k{key}"))
+    return _conversion(raws.agg(F.count(F.lit(1)).alias("_rows"), *counts), specs, options, dataset)
+
+
+def _conversion(totals: DataFrame, specs: list[ColumnSpec], options: CleanOptions, dataset: str) -> DataFrame:
+    """One row per column from its counts: ``n`` filled, ``t`` kept as text, ``p`` parsed and ``k`` kept as typed."""
+    entries = []
     harbor = options.privacy == "safe_harbor"
     for spec in specs:
         rule = privacy.safe_harbor_rule(spec.name, spec.hint) if harbor else None
         key = spec.position
-        raw = F.col(f"r{key}")
-        counts.append(F.count(raw).alias(f"n{key}"))
         non_null = F.col(f"n{key}")
         typed = spec.primitive != STRING
         keep = spec.mode(options) == "safe"
@@ -155,14 +171,11 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
 
         kept_text, kept_typed, parsed = non_null, non_null, non_null
         if narrowing:
-            counts.append(F.count(spec.cell(raw, options, typed=False, keep_invalid=False)).alias(f"t{key}"))
             kept_text = F.col(f"t{key}")
         if typed:
-            counts.append(F.count(read_typed(spec.primitive, raw, options.as_of)).alias(f"p{key}"))
             parsed = F.col(f"p{key}")
             kept_typed = non_null if keep else parsed
             if narrowing:
-                counts.append(F.count(spec.cell(raw, options, typed=True, keep_invalid=keep)).alias(f"k{key}"))
                 kept_typed = F.col(f"k{key}")
 
         success = F.when(non_null > 0, parsed / non_null).otherwise(F.lit(0.0))
@@ -182,8 +195,7 @@ def measure_conversion(df: DataFrame, specs: list[ColumnSpec], options: CleanOpt
             F.lit(rule[0] if rule else None).cast("string").alias("privacy_transform"),
             (F.when(gated, kept_text).otherwise(kept_typed) == 0).alias("empty"),
         ))
-    total = F.count(F.lit(1)).alias("_rows")
-    measured = raws.agg(total, *counts).select("_rows", F.inline(F.array(*entries)))
+    measured = totals.select("_rows", F.inline(F.array(*entries)))
     return measured.select(
         F.lit(dataset).alias(DATASET), F.col("_rows").alias("row_count"),
         *[c for c in measured.columns if c not in ("_rows", "empty")],
@@ -330,12 +342,20 @@ def fit(df: DataFrame, options: CleanOptions | None = None, *,
         dataset: str = "dataset", streaming: bool = False) -> CleaningPlan:
     """Measure ``df`` and decide, per column, type, coercion, dropping and masking."""
     options = (options or CleanOptions()).resolved(streaming=streaming)
+    specs = _specs(df, options, hints, exclude)
+    return _planned(measure_conversion(df, specs, options, dataset), options, dataset)
+
+
+def _specs(df: DataFrame, options: CleanOptions, hints: Mapping[str, tuple] | None,
+           exclude: tuple[str, ...]) -> list[ColumnSpec]:
     if hints is None:
         hints = infer_hints(df, options.as_of, exclude)
-    specs = column_specs(df.columns, hints, options, exclude)
+    return column_specs(df.columns, hints, options, exclude)
 
+
+def _planned(measured: DataFrame, options: CleanOptions, dataset: str) -> CleaningPlan:
     columns, row_count = [], 0
-    for row in measure_conversion(df, specs, options, dataset).collect():
+    for row in measured.collect():
         row_count = row["row_count"]
         columns.append(ColumnPlan(
             original=row["original_name"], name=row[COLUMN], position=row["position"],
@@ -344,3 +364,108 @@ def fit(df: DataFrame, options: CleanOptions | None = None, *,
             mode=row["coercion_mode"], skipped=row["coercion_skipped"],
             dropped=row["dropped_empty"], transform=row["privacy_transform"]))
     return CleaningPlan(tuple(columns), options, row_count, dataset)
+
+
+# --- fit and clean in one pass ------------------------------------------------
+_COPIES, _CHANGED = "n:", "o:"
+
+
+def settles(specs: list[ColumnSpec], options: CleanOptions) -> bool:
+    """True where a typed cell is its reading or its kept text, so that settled rows hold all that a fit may decide on."""
+    return options.remove_duplicates and all(
+        spec.mode(options) == "safe" and not spec.label_steps(options) for spec in specs if spec.primitive != STRING)
+
+
+def settle(df: DataFrame, specs: list[ColumnSpec], options: CleanOptions, row_key: str | None = None) -> DataFrame:
+    """Distinct rows of ``c:<name>`` and ``p:<name>`` with their copies, before anything is known about the columns.
+
+    ``c:`` is the cell if its column passes the gate and keeps unparsed text, ``p:`` its typed reading, and ``f:`` counts
+    the copies whose raw cell was filled where a normalizer can empty it. ``o:`` counts the copies with unparsed text
+    that was changed.
+    """
+    own, typed = [F.col(row_key)] if row_key else [], [s for s in specs if s.primitive != STRING]
+    narrowing = [s for s in specs if s.digit_steps(options)]
+    # Raw cells and typed readings are settled in projections of their own, as in ``CleaningPlan.project``.
+    raw = lambda s: F.col(f"`r:{s.name}`")
+    parsed = lambda s: F.col(f"`p:{s.name}`") if s in typed else None
+    rows = df.select(*own, *[s.raw(df, options).alias(f"r:{s.name}") for s in specs])
+    rows = rows.select("*", *[read_typed(s.primitive, raw(s), options.as_of).alias(f"p:{s.name}") for s in typed])
+    changed = F.lit(False)
+    for s in typed:
+        changed |= parsed(s).isNull() & ~raw(s).eqNullSafe(text.collapse(raw(s)) if options.sanitize else raw(s))
+    rows = rows.select(
+        *own, *[s.cell(raw(s), options, typed=s in typed, keep_invalid=True, parsed=parsed(s)).alias(f"c:{s.name}") for s in specs],
+        *[parsed(s) for s in typed], *[raw(s).isNotNull().alias(f"f:{s.name}") for s in narrowing], changed.alias(_CHANGED))
+    keys = [*[f"`c:{s.name}`" for s in specs], *[f"`p:{s.name}`" for s in typed]]
+    flags = [_CHANGED, *[f"f:{s.name}" for s in narrowing]]
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(_COPIES), *[F.count_if(F.col(f"`{flag}`")).alias(flag) for flag in flags],
+        *[F.min(row_key).alias(row_key) for _ in own])
+
+
+def _may_meet(spec: ColumnSpec, cell: Column, parsed: Column, as_of: dt.date) -> Column:
+    """True where another reading may have this cell, or another cell this reading.
+
+    Cells written from readings tell them apart, but for the years before 1 and zeros with a sign; unparsed text is like
+    none of them unless it can be read once its spaces are collapsed, or where a reading is written as no reading is read.
+    """
+    odd = parsed.isNull() & (F.col(f"`{_CHANGED}`") > 0) & read_typed(spec.primitive, cell, as_of).isNotNull()
+    if spec.primitive == NUMBER:
+        odd |= ((parsed == 0) & (cell != "0")) | (F.abs(parsed) == F.lit(float("inf"))) | F.isnan(parsed)
+    if spec.primitive == DATE:
+        odd |= ~parsed.between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date"))
+    return F.coalesce(odd, F.lit(False))
+
+
+def fit_settled(settled: DataFrame, specs: list[ColumnSpec], options: CleanOptions,
+                dataset: str = "dataset") -> tuple[CleaningPlan, bool]:
+    """The plan that :func:`fit` makes of the rows behind ``settled``, and whether its rows stay distinct as cells."""
+    copies = F.col(f"`{_COPIES}`")
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    counts, odd = [], F.lit(False)
+    for spec in specs:
+        key, cell, parsed = spec.position, F.col(f"`c:{spec.name}`"), F.col(f"`p:{spec.name}`")
+        filled = total(F.when(cell.isNotNull(), copies))
+        if spec.digit_steps(options):
+            counts += [total(F.col(f"`f:{spec.name}`")).alias(f"n{key}"), filled.alias(f"t{key}")]
+        else:
+            counts.append(filled.alias(f"n{key}"))
+        if spec.primitive != STRING:
+            counts.append(total(F.when(parsed.isNotNull(), copies)).alias(f"p{key}"))
+            odd |= _may_meet(spec, cell, parsed, options.as_of)
+    # A row for the whole table: read twice, by the plan and by the flag.
+    totals = settled.agg(total(copies).alias("_rows"), *counts, F.count_if(odd).alias("_odd"))
+    row = totals.first()
+    totals = settled.sparkSession.createDataFrame([row], totals.schema)
+    return _planned(_conversion(totals, specs, options, dataset), options, dataset), row["_odd"] == 0
+
+
+def settled_cells(plan: CleaningPlan, settled: DataFrame, row_key: str | None = None) -> DataFrame | None:
+    """The cells of ``plan`` from settled rows; None where a column failed its gate, whose text they do not hold."""
+    if any(c.skipped for c in plan.columns):
+        return None
+    def cell(c: ColumnPlan) -> Column:
+        return F.col(f"`{'c' if c.target == STRING or c.invalid > 0 else 'p'}:{c.name}`").alias(c.name)
+
+    return settled.select(*([row_key] if row_key else []), *[cell(c) for c in plan.kept()])
+
+
+def fit_and_clean(df: DataFrame, options: CleanOptions, *, hints: Mapping[str, tuple] | None = None,
+                  exclude: tuple[str, ...] = (), dataset: str = "dataset",
+                  row_key: str | None = None) -> tuple[CleaningPlan, DataFrame]:
+    """``fit`` and the distinct projected rows, written once; raw cells are read once where settled rows allow it."""
+    options = options.resolved()
+    specs, keys = _specs(df, options, hints, exclude), (row_key,) if row_key else ()
+    if settles(specs, options):
+        settled = materialize(settle(df, specs, options, row_key), "settled")
+        plan, distinct = fit_settled(settled, specs, options, dataset)
+        rows = settled_cells(plan, settled, row_key)
+        if rows is not None and distinct:
+            return plan, rows
+    else:
+        plan, rows = _planned(measure_conversion(df, specs, options, dataset), options, dataset), None
+    if rows is None:
+        rows = plan.project(df, keys)
+    if options.remove_duplicates:
+        rows = dedup.drop_duplicates(rows, keep_first=row_key)
+    return plan, materialize(rows, "projected")

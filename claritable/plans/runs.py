@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claritable.operators import assess, dedup, outcomes, profile, qc, readiness, validate
 from claritable.operators.cells import DATASET
 from claritable.options import CleanOptions
-from claritable.plans.cleaning import CleaningPlan, fit
+from claritable.plans.cleaning import CleaningPlan, fit_and_clean
 from claritable.sources.scratch import materialize
 
 
@@ -93,11 +93,7 @@ def clean_run(df: DataFrame, *, dataset: str = "dataset", row_key: str | None =
     spark = df.sparkSession
     keys = (row_key,) if row_key else ()
     exclude = tuple(dict.fromkeys((*keys, *exclude)))
-    plan = fit(df, options, hints=hints, exclude=exclude, dataset=dataset)
-    rows = plan.project(df, keys)
-    if plan.options.remove_duplicates:
-        rows = dedup.drop_duplicates(rows, keep_first=row_key)
-    rows = materialize(rows, "projected")
+    plan, rows = fit_and_clean(df, options, hints=hints, exclude=exclude, dataset=dataset, row_key=row_key)
     table = plan.privatize(rows, keys)
 
     plan_columns = plan.conversion(spark)
