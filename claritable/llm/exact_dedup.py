@@ -52,7 +52,9 @@ def _fold(part: pa.Table) -> pa.Table:
     known = part["doc_id"].fill_null(0).to_numpy()
     order = np.lexsort((at["row"], known, null, -at["n_points"], group))
     kept = part.take(pa.array(order[starts]))
-    return kept.set_column(kept.column_names.index("n"), "n", pa.array(np.add.reduceat(at["n"], starts)))
+    at_n = kept.schema.get_field_index("n")
+    # Under its own field: the schema must stay that of the next batch, nullable or not.
+    return kept.set_column(at_n, kept.schema.field(at_n), pa.array(np.add.reduceat(at["n"], starts)))
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,22 @@ def test_exact_dedup_hot_group_and_rows_that_stay(spark):
         {(keep, sha): 1 for _, keep, _, first, sha in expected_exact(awkward()) if first})
 
 
+def test_exact_dedup_of_partitions_of_many_batches(spark):
+    # A task's entries come in batches of 10,000 rows; here three of them, with one text over all.
+    n, hot = 25_000, 12_000
+    docs = spark.range(0, n, 1, 1).selectExpr(
+        "id AS doc_id", f"CASE WHEN id % 25 < 12 THEN 'same' ELSE concat('t', id % {n - 1000}) END AS text")
+    text = ["same" if k % 25 < 12 else f"t{k % (n - 1000)}" for k in range(n)]
+    size, first = Counter(text), {}
+    for k, t in enumerate(text):
+        first.setdefault(t, k)
+    assert size["same"] == hot and max(v for t, v in size.items() if t != "same") == 2
+    got = exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert Counter(map(tuple, got)) == Counter((k, first[t], size[t], first[t] == k) for k, t in enumerate(text))
+    stay = exact_dedup.drop_exact_duplicates(docs).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in stay) == sorted(first.values())
+
+
 def expected_lines(rows, run=3, size=50):
     """Later runs deleted, straight from the definition; rows alike in id and text are one document."""
     docs = {}
