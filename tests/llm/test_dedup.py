@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from claritable.llm import exact_dedup, line_dedup, quality, simhash
+from claritable.llm.common import QUERIES
 from claritable.llm.components import components
 from tests.llm.helpers import SCHEMA, awkward, empty, prose, table
 
@@ -69,6 +70,18 @@ def test_exact_dedup_of_partitions_of_many_batches(spark):
     assert sorted(r["doc_id"] for r in stay) == sorted(first.values())
 
 
+def test_exact_dedup_query_of_one_large_row_group(spark, tmp_path):
+    # A row group is one task, however small the partitions are.
+    rows = spark.range(0, 30_000, 1, 1).selectExpr("id AS doc_id", "concat('text ', id % 20000, repeat(' ', int(id % 3))) AS text")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    size, best = Counter(k % 20_000 for k in range(30_000)), {}
+    for k in range(30_000):
+        best[k % 20_000] = min(best.get(k % 20_000, (0, k)), (-(k % 3), k))
+    got = QUERIES["op7_exact_dedup"](spark, str(tmp_path)).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert Counter(map(tuple, got)) == Counter(
+        (k, best[k % 20_000][1], size[k % 20_000], best[k % 20_000][1] == k) for k in range(30_000))
+
+
 def expected_lines(rows, run=3, size=50):
     """Later runs deleted, straight from the definition; rows alike in id and text are one document."""
     docs = {}
