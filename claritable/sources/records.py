@@ -44,6 +44,18 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("id"), "value")
 
 
+#: Bytes of lines that are taken as Python values at once.
+_AT_ONCE = 8 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of long lines cut into smaller ones."""
+    for batch in batches:
+        n = max(1, batch.num_rows * _AT_ONCE // max(_AT_ONCE, batch.nbytes))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*[column.to_pylist() for column in batch.columns], strict=True)
@@ -56,7 +68,7 @@ def _ends(sep: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list] = []
         out = within = None  # first line of the open record, if there is one, in either case
-        for file, start, i, value in _rows(batches):
+        for file, start, i, value in _rows(_parts(batches)):
             if not found or found[-1][:2] != [file, start]:
                 # Inside from the beginning: the open record began before this range.
                 found.append([file, start, i, None, None, None, True])
@@ -110,7 +122,7 @@ def _whole(sep: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
         header = False
-        for batch in batches:
+        for batch in _parts(batches):
             found = []
             for file, first, i, value in _rows([batch]):
                 if not held:

@@ -14,10 +14,13 @@ from claritable.sources import records
 # Format of each file extension.
 FORMATS = {"csv": "csv", "tsv": "tsv", "txt": "csv", "jsonl": "jsonl", "ndjson": "jsonl",
            "parquet": "parquet"}
+#: An extension after that of the format: text is compressed.
+COMPRESSED = ".lz4"
+_EXTENSION = re.compile(rf"\.([A-Za-z0-9]+)({re.escape(COMPRESSED)})?/?$")
 
 
 def detect_format(path: str) -> str:
-    match = re.search(r"\.([A-Za-z0-9]+)/?$", path)
+    match = _EXTENSION.search(path)
     return FORMATS.get(match.group(1).lower(), "csv") if match else "csv"
 
 
@@ -89,9 +92,16 @@ def flatten_nested(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> None:
-    """Write CSV or TSV with a header, JSON lines with null keys kept, or typed Parquet."""
+    """Write CSV or TSV with a header, JSON lines with null keys kept, or typed Parquet.
+
+    Text goes compressed to a path like ``x.csv.lz4``. Such a file is written as fast and read by one task, so it is
+    for tables that many tasks write.
+    """
     kind = fmt or detect_format(path)
     writer = df.write.mode(mode)
+    match = _EXTENSION.search(path)
+    if kind != "parquet" and match and match.group(2):
+        writer = writer.option("compression", "lz4")
     if kind in ("csv", "tsv"):
         writer.options(**delimited_options("\t" if kind == "tsv" else ",")).csv(path)
     elif kind == "jsonl":

@@ -6,6 +6,7 @@ import os
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,45 @@ def test_row_estimate_writes_long_cells_in_all_tasks(spark, tmp_path, monkeypatc
     rows = {r["format"]: r["rows"] for r in QUERIES["row_estimate"](session, str(tmp_path)).collect()}
     documents, items = (spark.read.parquet(f"{tmp_path}/{t}.parquet").count() for t in ("documents", "lineitem"))
     assert rows == {"csv": items, "jsonl": items, "parquet": items, "long": documents} and parts == [4, 4, 4]
+
+
+def test_row_estimate_takes_less_disk_than_four_times_its_tables(spark, tmp_path, monkeypatch):
+    # Texts alike in nothing: what is saved is the text's own repeats and the names of JSON keys.
+    r = random.Random(3)
+    texts = [(k, " ".join(f"{r.getrandbits(40):x}" for _ in range(r.choice((5, 300, 900))))) for k in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(40_000).select(
+        F.xxhash64("id").alias("l_orderkey"), (F.col("id") % 50).cast("double").alias("l_quantity"), F.lit("R").alias("l_returnflag"),
+    ).repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def size(path):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, found in os.walk(path) for f in found)
+
+    given, paths = size(tmp_path), iter("abc")
+    monkeypatch.setattr(files, "new_path", lambda spark, label: f"{tmp_path}/scratch/{next(paths)}")
+    found = {r["format"]: r["rows"] for r in QUERIES["row_estimate"](spark, str(tmp_path)).collect()}
+    assert found == {"csv": 40_000, "jsonl": 40_000, "parquet": 40_000, "long": 400}
+    assert 0 < size(f"{tmp_path}/scratch") < 4 * given
+
+
+@pytest.mark.parametrize("name", ["csv", "tsv", "jsonl"])
+def test_compressed_text_comes_back(spark, tmp_path, ranges, name):
+    cells = ["plain", 'a "b"', "two\nlines", "tab\tand,comma", '"\n""\n', "é" * 3000]
+    rows = spark.createDataFrame([(str(k), cells[k % 6]) for k in range(60)], "id string, text string").repartition(3)
+    plain, packed = f"{tmp_path}/x.{name}", f"{tmp_path}/y.{name}.lz4/"
+    tables.write_table(rows, plain)
+    tables.write_table(rows, packed)
+    files_of = [f for f in os.listdir(packed) if f.startswith("part-")]
+    assert len(files_of) == 3 and all(f.endswith(".lz4") for f in files_of)
+    ranges(2000)  # a compressed file is one range, however small these are
+    assert tables.detect_format(packed) == name
+    assert rows_of(tables.read_table(spark, packed)) == rows_of(tables.read_table(spark, plain)) == rows_of(rows)
+    assert tables.row_count(spark, packed) == tables.row_count(spark, plain) == 60
+
+
+def test_batches_of_long_lines_are_cut_and_none_is_lost(monkeypatch):
+    monkeypatch.setattr(records, "_AT_ONCE", 500)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * (5 * k) + str(k) for k in range(n)])], ["value"]) for n in (0, 1, 40)]
+    parts = list(records._parts(iter(batches)))
+    assert len(parts) > 10 and max(p.num_rows for p in parts) < 10
+    assert [x for p in parts for x in p["value"].to_pylist()] == [x for b in batches for x in b["value"].to_pylist()]
